@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing
+from . import bpe, exact_dedup, packing, secrets, simhash
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark, sf_dir):
+    return simhash.near_groups(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -22,11 +26,15 @@ def op4_best_fit_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op6_secret_scans(spark, sf_dir):
+    return secrets.secret_rows(_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark, sf_dir):
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_best_fit_packing, op8_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op4_best_fit_packing, op6_secret_scans, op8_bpe)}
 
 _EXACT = r"""
 with d as (
@@ -40,4 +48,30 @@ with d as (
 select doc_id, keep_id, group_size, place = 1 as kept, sha256(squeezed) as text_sha256 from r
 """
 
-SQL = {"op2_exact_dedup": _EXACT}
+def _secrets_sql() -> str:
+    """Gaps and matches alternate, so running sums of their lengths give the places."""
+    parts = []
+    for k, rule in enumerate(secrets.RULES):
+        p = rule.pattern.replace("'", "''")
+        parts.append(f"""
+  select rid, {k} as kind, '{rule.kind}' as name, start_at as start, start_at + len_hit as stop from (
+    select rid, len_part, len_hit, sum(len_gap + coalesce(lag_hit, 0)) over (partition by rid order by i) as start_at from (
+      select rid, i, length(gaps[i]) as len_gap, length(hits[i]) as len_hit, length(parts[i]) as len_part, length(hits[i - 1]) as lag_hit
+      from (select rid, string_split_regex(body, '{p}') as gaps, regexp_extract_all(body, '{p}') as hits,
+                   regexp_extract_all(body, '{p}', {rule.group}) as parts from d where regexp_matches(body, '{p}')) z,
+           unnest(range(1, len(hits) + 1)) as u(i)
+    )
+  ) where len_part >= {rule.least}""")
+    spans = " union all ".join(parts)
+    base = len([r for r in secrets.RULES if r.base])
+    counts = ", ".join(f"count(kind) filter (where kind = {k}) as n_{r.kind}" for k, r in enumerate(secrets.RULES) if r.base)
+    line = "name || ':' || start::bigint || ':' || stop::bigint"
+    return f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as body from documents), s as ({spans})
+select doc_id, {counts},
+  sha256(coalesce(string_agg({line}, ',' order by start, kind) filter (where kind < {base}), '')) as base_sha256,
+  coalesce(string_agg({line}, ',' order by start, kind), '') as spans
+from d left join s using (rid) group by rid, doc_id"""
+
+
+SQL = {"op2_exact_dedup": _EXACT, "op6_secret_scans": _secrets_sql()}
