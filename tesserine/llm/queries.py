@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, secrets, simhash
+from . import bpe, exact_dedup, line_dedup, packing, secrets, simhash
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -26,6 +27,11 @@ def op4_best_fit_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_line_dedup(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.strip_boilerplate(docs).select(F.col("c0").alias("doc_id"), "n_lines", "n_removed", F.sha2("clean", 256).alias("clean_sha256"))
+
+
 def op6_secret_scans(spark, sf_dir):
     return secrets.secret_rows(_table(spark, sf_dir, "documents"))
 
@@ -34,7 +40,7 @@ def op8_bpe(spark, sf_dir):
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op4_best_fit_packing, op6_secret_scans, op8_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op4_best_fit_packing, op5_line_dedup, op6_secret_scans, op8_bpe)}
 
 _EXACT = r"""
 with d as (
@@ -48,6 +54,17 @@ with d as (
 select doc_id, keep_id, group_size, place = 1 as kept, sha256(squeezed) as text_sha256 from r
 """
 
+_LINES = rf"""
+with d as (select row_number() over () as rid, doc_id, source, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+l as (select rid, doc_id, source, i, parts[i] as line, regexp_replace(parts[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as bare
+      from d, unnest(range(1, len(parts) + 1)) as u(i)),
+b as (select bare from l where bare <> '' group by bare having count(distinct source) >= {line_dedup.MIN_SITES})
+select l.doc_id, count(*) as n_lines, count(b.bare) as n_removed,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (where b.bare is null), '')) as clean_sha256
+from l left join b using (bare) group by l.rid, l.doc_id
+"""
+
+
 def _secrets_sql() -> str:
     """Gaps and matches alternate, so running sums of their lengths give the places."""
     parts = []
@@ -74,4 +91,4 @@ select doc_id, {counts},
 from d left join s using (rid) group by rid, doc_id"""
 
 
-SQL = {"op2_exact_dedup": _EXACT, "op6_secret_scans": _secrets_sql()}
+SQL = {"op2_exact_dedup": _EXACT, "op5_line_dedup": _LINES, "op6_secret_scans": _secrets_sql()}
