@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, packing, secrets, simhash
+from . import bpe, exact_dedup, line_dedup, packing, quality, secrets, simhash, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -40,7 +40,17 @@ def op8_bpe(spark, sf_dir):
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op4_best_fit_packing, op5_line_dedup, op6_secret_scans, op8_bpe)}
+def op9_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, toxicity.taught(docs, _table(spark, sf_dir, "labels")))
+
+
+def op10_quality(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.quality(docs, quality.taught(docs, _table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op4_best_fit_packing, op5_line_dedup, op6_secret_scans, op8_bpe, op9_toxicity, op10_quality)}
 
 _EXACT = r"""
 with d as (
