@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, packing, quality, secrets, simhash, toxicity
+from . import bpe, exact_dedup, line_dedup, neighbours, packing, quality, secrets, simhash, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -36,6 +36,10 @@ def op6_secret_scans(spark, sf_dir):
     return secrets.secret_rows(_table(spark, sf_dir, "documents"))
 
 
+def op7_nearest(spark, sf_dir):
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe(spark, sf_dir):
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -50,7 +54,7 @@ def op10_quality(spark, sf_dir):
     return quality.quality(docs, quality.taught(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op4_best_fit_packing, op5_line_dedup, op6_secret_scans, op8_bpe, op9_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op4_best_fit_packing, op5_line_dedup, op6_secret_scans, op7_nearest, op8_bpe, op9_toxicity, op10_quality)}
 
 _EXACT = r"""
 with d as (
