@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, neighbours, packing, quality, secrets, simhash, toxicity
+from . import bpe, exact_dedup, language, line_dedup, neighbours, packing, quality, secrets, simhash, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -23,6 +23,10 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_language_id(spark, sf_dir):
+    return language.identify(_table(spark, sf_dir, "pages"), language.taught(_table(spark, sf_dir, "documents")))
+
+
 def op4_best_fit_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -54,7 +58,7 @@ def op10_quality(spark, sf_dir):
     return quality.quality(docs, quality.taught(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op4_best_fit_packing, op5_line_dedup, op6_secret_scans, op7_nearest, op8_bpe, op9_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_language_id, op4_best_fit_packing, op5_line_dedup, op6_secret_scans, op7_nearest, op8_bpe, op9_toxicity, op10_quality)}
 
 _EXACT = r"""
 with d as (
