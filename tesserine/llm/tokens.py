@@ -17,7 +17,7 @@ import ahocorasick
 import tokenizers
 
 #: Words kept with their ids in each of two generations; when the young one is full, it replaces the old one.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 400_000
 #: Letters that no contraction or number can touch, then perhaps marks: two pre-tokens at most.
 PLAIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|*#$%&]*)")
 #: Longer pieces are not kept.
@@ -55,16 +55,15 @@ class PrefixEncoder:
             if whole not in self.halves:
                 self.halves[whole], self.rank_of[whole] = (left, right), n
         self.fits: dict[tuple[int, int], bool] = {}
+        # A token that its own bytes don't merge to never ends a prefix.
+        self.whole = {i for i in vocab.values() if i not in self.special.values() and (i not in self.halves or self._merged(self.bytes_of[i]) == [i])}
         self.automaton = ahocorasick.Automaton()
-        for i, b in self.bytes_of.items():
-            if i not in self.special.values():
-                self.automaton.add_word(b.decode("latin-1"), (len(b), i))
+        for i in self.whole:
+            self.automaton.add_word(self.bytes_of[i].decode("latin-1"), (len(self.bytes_of[i]), i))
         self.automaton.make_automaton()
-        self.whole = {i: self._merged(self.bytes_of[i]) == [i] for i in self.halves}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pre = tokenizers.Tokenizer.from_file(path).pre_tokenizer
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.memo, self.old = _Words(self._add), {}
 
     def _merged(self, word: bytes) -> list[int]:
         """Merge by rank, for short byte strings."""
@@ -78,33 +77,46 @@ class PrefixEncoder:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the bytes of two whole tokens, merged alone, give the two tokens again."""
-        known = self.fits.get((a, b))
-        if known is None:
-            known = self._merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-            if len(self.fits) >= 1_000_000:
-                self.fits.clear()
-            self.fits[a, b] = known
+        if len(self.fits) >= 1_000_000:
+            self.fits.clear()
+        known = self.fits[a, b] = self._stay_apart(a, b)
         return known
 
+    def _stay_apart(self, a: int, b: int) -> bool:
+        """Undo merges along the seam, the latest first: the two stay apart if at no time an earlier merge crossed it.
+
+        Of equal merges the left one comes first, so one across the seam wins against the same merge inside b, not inside a.
+        """
+        rank, made, halves = self.rank, self.rank_of, self.halves
+        until = len(rank) + 1
+        while True:
+            crossing = rank.get((a, b))
+            if crossing is not None and crossing < until:
+                return False
+            of_a, of_b = made.get(a, -1), made.get(b, -1)
+            if of_a < 0 and of_b < 0:
+                return True
+            if of_a > of_b:
+                until, a = of_a, halves[a][1]
+            else:
+                until, b = of_b + 1, halves[b][0]
+
     def encode_word(self, word: bytes) -> list[int]:
         """The ids of one pre-token."""
-        n, whole, halves = len(word), self.whole, self.halves
         direct = self.id_of.get(word)
-        if direct is not None and whole.get(direct, True):
+        if direct in self.whole:
             return [direct]
-        last, fits = [-1] * n, self.fits
-        done = -1
+        n, fits, done = len(word), self.fits.get, -1
+        last = [-1] * n
         for end, (size, token) in self.automaton.iter(word.decode("latin-1")):
-            if end == done or (token in halves and not whole[token]):
-                continue
-            start = end - size
-            if start < 0:
-                last[end], done = token, end
-            else:
-                before = last[start]
-                ok = fits.get((before, token))
-                if ok if ok is not None else self.compatible(before, token):
+            if end != done:
+                if size > end:
                     last[end], done = token, end
+                else:
+                    pair = last[end - size], token
+                    ok = fits(pair)
+                    if self.compatible(*pair) if ok is None else ok:
+                        last[end], done = token, end
         ids, at = [], n - 1
         while at >= 0:
             ids.append(last[at])
@@ -130,18 +142,14 @@ class PrefixEncoder:
         """
         if not text or "  " in text:
             return self.piece(text)
-        words, out = text.split(" "), []
+        words = text.split(" ")
         try:
-            first = self.piece(words[0])
-            for w in words[1:]:
-                got = self.memo.get(w)
-                out.append(got if got is not None else self._add(w))
+            return self.piece(words[0]) + b"".join(map(self.memo.__getitem__, words[1:]))
         except Unsafe:
             return self.piece(text)
-        return first + b"".join(out)
 
     def _add(self, word: str) -> bytes:
-        got = self.old.get(word)
+        got = self.old.get(word) or self.memo.get(word)
         if got is None:
             if m := PLAIN_WORD.fullmatch(word):
                 ids = self.encode_word(b" " + m[1].encode())
@@ -154,7 +162,7 @@ class PrefixEncoder:
                 got = self.piece(" " + word)
         if len(word) <= MEMO_CHARS:
             if len(self.memo) >= MEMO_WORDS:
-                self.memo, self.old = {}, self.memo
+                self.memo, self.old = _Words(self._add), self.memo
             self.memo[word] = got
         return got
 
@@ -163,6 +171,16 @@ class PrefixEncoder:
         return b"".join([table[i] for i in struct.unpack(f"<{len(ids) // 4}I", ids)]).decode("utf-8", "replace")
 
 
+class _Words(dict):
+    """Words with their ids; one that is missing is encoded."""
+
+    def __init__(self, add):
+        self.add = add
+
+    def __missing__(self, word: str) -> bytes:
+        return self.add(word)
+
+
 class Unsafe(Exception):
     """A word that starts with white space: the text is not cut at spaces."""
 
