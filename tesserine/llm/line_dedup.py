@@ -18,7 +18,9 @@ MIN_SITES = 5
 LOG_K = 8
 #: Estimates within this factor of the threshold are counted exactly: over four standard errors.
 MARGIN = 1.3
-_SPACE = "\\x20\\x09-\\x0D"
+_SPACE = " \t\n\x0b\x0c\r"
+#: log2 of the bits of the filter that tells documents without boilerplate: 128 KB, whatever the corpus.
+FILTER_BITS = 20
 
 
 def lines_of(text: Column) -> Column:
@@ -28,7 +30,7 @@ def lines_of(text: Column) -> Column:
 
 def bare(line: Column) -> Column:
     """A line without white space around it; lines are compared so."""
-    return F.regexp_replace(line, f"^[{_SPACE}]+|[{_SPACE}]+$", "")
+    return F.btrim(line, F.lit(_SPACE))
 
 
 def spread_lines(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
@@ -50,19 +52,38 @@ def spread_lines(docs: DataFrame, text_col: str = "text", site_col: str = "sourc
     return wide.where(F.col("sites") > min_sites * MARGIN).unionByName(exact)
 
 
+def _filter_of(hashes: DataFrame) -> DataFrame:
+    """One row (always, words): a bit for each of the values that the hashes have modulo 2**FILTER_BITS, 64 to a word."""
+    bit = F.pmod(F.col("drop"), F.lit(1 << FILTER_BITS))
+    filled = hashes.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(drop, {1 << FILTER_BITS}) & 63 as int))").alias("mask"))
+    every = hashes.sparkSession.range(1 << (FILTER_BITS - 6)).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("mask"))
+    words = filled.union(every).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    # 2**(FILTER_BITS - 6) words, whatever the input.
+    return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "mask"))), lambda x: x["mask"]).alias("words")).withColumn("always", F.lit(1))
+
+
 def strip_boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """docs as columns c0, c1, ..., with n_lines, n_removed and clean: the text without lines that stand on many sites.
 
     Null text counts as empty: one line, none removed. Lines in a null site's documents are removed like any others.
-    Lines of white space alone always stay; an empty table gives an empty result.
+    Lines of white space alone always stay; an empty table gives an empty result. Documents that a small bit filter shows
+    to hold no boilerplate pass without a shuffle; the others' lines are looked up exactly.
     """
     drop = cut(spread_lines(docs, text_col, site_col, min_sites).select(F.col("hash").alias("drop")))
     keyed = with_row_key(docs)
+    own = [c for c in keyed.columns if c not in ("file_key", "row_key")]
     text = F.col(column_of(docs, text_col))
-    split = keyed.select("file_key", "row_key", F.explode(F.transform(lines_of(text), lambda x: F.xxhash64(bare(x)))).alias("hash"))
+    hashes = F.filter(F.transform(lines_of(text), lambda x: F.when(bare(x) != "", F.xxhash64(bare(x)))), lambda x: x.isNotNull())
+    # The filter is one row of fixed size: a proven bound.
+    asked = keyed.withColumn("one", F.lit(1)).join(F.broadcast(cut(_filter_of(drop))), F.col("one") == F.col("always"), "left")
+    word = lambda h: F.element_at("words", F.shiftright(F.pmod(h, F.lit(1 << FILTER_BITS)), 6).cast("int") + 1)
+    told = F.exists(hashes, lambda h: F.getbit(word(h), F.pmod(h, F.lit(64)).cast("int")) == 1)
+    clear = asked.where(~told).select(*own, F.size(lines_of(text)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.coalesce(text, F.lit("")).alias("clean"))
+    doubted = asked.where(told).select(*own, "file_key", "row_key")
+    split = doubted.select("file_key", "row_key", F.explode(hashes).alias("hash"))
     hits = split.join(drop, F.col("hash") == F.col("drop"), "left_semi").groupBy(F.col("file_key").alias("hit_file"), F.col("row_key").alias("hit_row")).agg(F.collect_set("hash").alias("hits"))
-    rows = keyed.join(cut(hits), (F.col("file_key") == F.col("hit_file")) & (F.col("row_key") == F.col("hit_row")), "left")
+    rows = doubted.join(hits, (F.col("file_key") == F.col("hit_file")) & (F.col("row_key") == F.col("hit_row")), "left")
     lines = lines_of(text)
     kept = F.filter(lines, lambda x: (bare(x) == "") | ~F.array_contains("hits", F.xxhash64(bare(x))))
     kept = F.when(F.col("hits").isNull(), lines).otherwise(kept)
-    return rows.select(*[c for c in keyed.columns if c not in ("file_key", "row_key")], F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(kept)).cast("long").alias("n_removed"), F.array_join(kept, "\n").alias("clean"))
+    return clear.union(rows.select(*own, F.size(lines).cast("long"), (F.size(lines) - F.size(kept)).cast("long"), F.array_join(kept, "\n")))
