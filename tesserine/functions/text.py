@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,8 +13,9 @@ from pyspark.sql.types import StringType
 
 from ..config import DEFAULT
 
-#: White space as Unicode has it, and the four separators that Python counts too.
+#: White space as Unicode has it, and the four separators that Python counts too: as a pattern and as characters.
 SPACE = r"[\s\x1c-\x1f]"
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: What ends a line.
 LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
@@ -25,9 +27,14 @@ COMMON_ENTITIES = [("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&nbs
 ARTICLE_URL = "https://en.wikipedia.org/wiki?curid="
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once, however often body names it, and also inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind around it."""
-    return F.regexp_replace(c, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:
@@ -149,15 +156,25 @@ def strip_markup(c: Column, nested: bool = True) -> Column:
 
 def clean_paragraph(c: Column, min_chars: int = 0, nested: bool = True) -> Column:
     """Display-ready prose; null for null, blank, furniture, nothing left, or fewer than min_chars code points."""
-    prose = strip_markup(c, nested)
-    return F.when(~is_blank(c) & ~is_furniture(c) & (prose != "") & (F.length(prose) >= min_chars), prose)
+    if nested:
+        # Python is not called from inside a lambda, so the spans are dropped first.
+        return _prose_of(c, drop_spans(c), min_chars)
+    return _prose_of(c, c, min_chars)
+
+
+def _prose_of(c: Column, without_spans: Column, min_chars: int) -> Column:
+    prose = let(strip_markup(without_spans, nested=False), lambda p: F.when((p != "") & (F.length(p) >= min_chars), p))
+    return F.when(~is_blank(c) & ~is_furniture(c), prose)
 
 
 def body_lines(c: Column, title: Column) -> Column:
     """The non-empty lines of a cleaned text, without a first one that repeats the title."""
-    lines = F.filter(F.split(c, "\n"), lambda x: x != "")
-    first = F.coalesce((F.get(lines, F.lit(0)) == strip(title)) & (title != ""), F.lit(False))
-    return F.when(first, F.slice(lines, 2, 2147483647)).otherwise(lines)
+
+    def without_title(lines: Column) -> Column:
+        first = F.coalesce((F.get(lines, F.lit(0)) == strip(title)) & (title != ""), F.lit(False))
+        return F.when(first, F.slice(lines, F.lit(2), F.size(lines))).otherwise(lines)
+
+    return let(F.filter(F.split(c, "\n"), lambda x: x != ""), without_title)
 
 
 def join_paragraphs(paragraphs: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
+from ..functions.text import let
 
 
 def hashed_words(c: Column, dim: int = 64) -> Column:
@@ -22,11 +23,6 @@ def hashed_words(c: Column, dim: int = 64) -> Column:
     return let(buckets, lambda bs: let(counts(bs), lambda ns: let(length(ns), lambda n: scaled(ns, n))))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value worked out once: inside a lambda of its own an expression would be worked out for each element."""
-    return F.transform(F.array(value), body)[0]
-
-
 def encode(df: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], text: str = "text", rows: int = DEFAULT.embed.encode_rows, out: str = "embedding") -> DataFrame:
     """df with the vectors of a model that load() gives, once for each task; vectors of length 1, in single precision."""
 

@@ -85,7 +85,7 @@ flat as (select q.vec_id as qid, e.vec_id as idx, e.label, list_distance(q.embed
                 list_dot_product(q.embedding::double[], e.embedding::double[]) as dot,
                 sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) * sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) as norms
          from embeddings q, embeddings e where q.vec_id % {EVERY} = 0),
-near as (select *, row_number() over (partition by qid order by distance, idx) - 1 as rank_pos from flat)"""
+near as (select *, (row_number() over (partition by qid order by distance, idx) - 1)::int as rank_pos from flat)"""
 _LINKS = """
 hrefs as (select page_id, regexp_extract_all(html, 'href="/([^"]*)"', 1) as targets from pages),
 links as (select page_id, i - 1 as pos, targets[i] as target from hrefs, unnest(range(1, len(targets) + 1)) as u(i)),
@@ -179,7 +179,7 @@ def ivf_list_sizes(spark, sf):
 probes as (select vec_id as qid, q.embedding as vec, list_id from (select vec_id, embedding, list_id, row_number() over (partition by vec_id order by list_distance(embedding::double[], centroid) ** 2, list_id) as place
            from embeddings, centroids where vec_id % {EVERY} = 0) q where place <= 3),
 f as (select qid, idx, list_distance(vec::double[], embedding::double[]) ** 2 as distance from probes join listed using (list_id)),
-r as (select *, row_number() over (partition by qid order by distance, idx) - 1 as rank_pos from f)
+r as (select *, (row_number() over (partition by qid order by distance, idx) - 1)::int as rank_pos from f)
 select qid, idx, rank_pos, round(distance, 6) as distance from r where rank_pos < 50""")
 def knn_ivf_fixed(spark, sf):
     centroids = _fixed_centroids(spark, sf)
@@ -220,7 +220,7 @@ def pq_reconstruct(spark, sf):
 lookup as (select q.vec_id as qid, part, code, list_distance(q.embedding[part * {DIM // PARTS} + 1:part * {DIM // PARTS} + {DIM // PARTS}]::double[], centre) ** 2 as d from embeddings q, book where q.vec_id % {EVERY} = 0),
 flat_codes as (select idx, i - 1 as part, codes[i] as code from coded, unnest(range(1, {PARTS} + 1)) as u(i)),
 f as (select qid, idx, sum(d) as distance from flat_codes join lookup using (part, code) group by qid, idx),
-r as (select *, row_number() over (partition by qid order by round(distance, 9), idx) - 1 as rank_pos from f)
+r as (select *, (row_number() over (partition by qid order by round(distance, 9), idx) - 1)::int as rank_pos from f)
 select qid, idx, rank_pos, round(distance, 6) as distance from r where rank_pos < 10""")
 def pq_adc_topk(spark, sf):
     book = _fixed_codebook(spark, sf)
@@ -378,14 +378,14 @@ def _articles(spark, sf):
 _SPLIT = r"d as (select *, string_split(text, chr(10)) as lines from documents)"
 
 
-@query(f"with {_SPLIT} select doc_id, i - 1 as pos, lines[i] as text from d, unnest(range(1, len(lines) + 1)) as u(i) where trim(lines[i]) <> ''")
+@query(f"with {_SPLIT} select doc_id, (i - 1)::int as pos, lines[i] as text from d, unnest(range(1, len(lines) + 1)) as u(i) where trim(lines[i]) <> ''")
 def paragraph_positions(spark, sf):
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     return lines.where(F.trim("text") != "")
 
 
 @query(f"""with {_SPLIT}, l as (select doc_id, i, trim(lines[i]) as line from d, unnest(range(1, len(lines) + 1)) as u(i))
-select doc_id, row_number() over (partition by doc_id order by i) - 1 as pos, line as text from l where line <> ''""")
+select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as pos, line as text from l where line <> ''""")
 def paragraphs(spark, sf):
     joined = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
     return table(spark, sf, "documents").select("doc_id", F.posexplode(T.split_paragraphs(joined)).alias("pos", "text"))
@@ -620,10 +620,8 @@ select item_id, rank::int as rank, doc_id, round(score, 6) as score from r where
 def text_search_hashed(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), encode.hashed_words(F.col("text")).alias("embedding"))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), encode.hashed_words(F.col("text")).alias("vec"))
-    met = docs.join(index.broadcast_if_small(asked), how="cross").select("qid", "idx", F.round(V.dot(F.col("vec"), F.col("embedding")), 9).alias("score")).where("score > 0")
-    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "idx")
-    top = met.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
-    return top.select(F.col("qid").alias("item_id"), "rank", F.col("idx").alias("doc_id"), F.round("score", 6).alias("score"))
+    top = index.search_blocks(docs, asked, 5, measure="dot").where("distance < 0")
+    return top.select(F.col("qid").alias("item_id"), (F.col("rank_pos") + 1).alias("rank"), F.col("idx").alias("doc_id"), F.round(-F.col("distance"), 6).alias("score"))
 
 
 # ---- evaluation corpus: benchmark items ask for the articles that hold them

@@ -63,13 +63,15 @@ def articles(fragments: DataFrame, settings: Extract = DEFAULT.extract, common_e
     if nested:
         # Python takes whole columns, not elements of an array: lines go through it as rows.
         # An article is told by where it stands, so that articles with equal fields stay apart.
-        placed = fragments.select(F.monotonically_increasing_id().alias("place"), "id", "url", "title", F.posexplode(lines).alias("pos", "line"))
+        placed = fragments.withColumn("place", F.monotonically_increasing_id()).select("place", "id", "url", "title", F.posexplode(lines).alias("pos", "line"))
         cleaned = placed.withColumn("line", text.clean_paragraph(F.col("line"), settings.min_paragraph_chars)).where("line is not null")
         joined = cleaned.groupBy("place", "id", "url", "title").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("kept"))
         content = joined.select("id", "url", "title", text.join_paragraphs(F.col("kept.line")).alias("content"))
     else:
         cleaned = F.filter(F.transform(lines, lambda x: text.clean_paragraph(x, settings.min_paragraph_chars, nested=False)), F.isnotnull)
-        content = fragments.select("id", "url", "title", text.join_paragraphs(cleaned).alias("content"))
+        # A filter on the content would be pushed below it and work it out twice; a generator is worked out once.
+        long = F.filter(F.array(text.join_paragraphs(cleaned)), lambda c: text.word_count(c) >= settings.min_article_words)
+        return fragments.select("id", "url", "title", F.explode_outer(long).alias("content")).where("content is not null")
     return content.where(text.word_count(F.col("content")) >= settings.min_article_words)
 
 
@@ -80,8 +82,11 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
 
 def read_article_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(ARTICLE rows of JSON lines, lines that are not JSON)."""
-    rows = spark.read.schema(schema.ARTICLE + ", broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").option("recursiveFileLookup", "true").json(path)
-    return rows.where("broken is null").drop("broken"), rows.where("broken is not null").select("broken")
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).where("trim(value) <> ''")
+    row = F.from_json("value", schema.ARTICLE + ", broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    rows = lines.select("value", row.alias("row"))
+    good = rows.where("row.broken is null").select("row.id", "row.url", "row.title", "row.content")
+    return good, rows.where("row.broken is not null").select(F.col("value").alias("broken"))
 
 
 def read_test_queries(spark: SparkSession, path: str) -> DataFrame:
