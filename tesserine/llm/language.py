@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, cut, pick
+from .labelled import TEACHING_CHARS
 
 #: At most so many labelled documents of each language teach the text models.
 TEACHING_ROWS = 1_000
@@ -78,7 +79,7 @@ def learn(rows: list[tuple[str, str]]) -> TextModel:
 
 def taught(docs: DataFrame) -> TextModel:
     """From a bounded sample of documents (text, lang), the first of each language by a hash of doc_id."""
-    rows = pick(docs, doc_id="doc_id", text="text", lang="lang").where("doc_id is not null and text is not null and lang is not null")
+    rows = pick(docs, doc_id="doc_id", text="text", lang="lang").where("doc_id is not null and lang is not null").where(F.length("text") <= TEACHING_CHARS)
     known = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
     order = F.xxhash64("doc_id")
     sample = None
