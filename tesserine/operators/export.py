@@ -23,8 +23,12 @@ def curids(titles: DataFrame) -> DataFrame:
     return titles.select("title", text.curid(F.col("url")).alias("curid")).where("curid is not null")
 
 
-def key_values(passages: DataFrame, ids: DataFrame, min_chars: int = DEFAULT.export.min_chars, nested: bool = True) -> DataFrame:
-    """passages (idx, article_title, text) with prose (null: dropped) and curid, from which items and counters are made."""
+def key_values(passages: DataFrame, ids: DataFrame, min_chars: int = DEFAULT.export.min_chars, nested: bool = True, limit: int | None = None) -> DataFrame:
+    """passages (idx, article_title, text) with prose (null: dropped) and curid, from which items and counters are made.
+
+    limit: only the passages with the smallest idx, as many, for a trial.
+    """
+    passages = passages.orderBy("idx").limit(limit) if limit is not None else passages
     known = ids.select(F.col("title").alias("of_title"), "curid")
     found = passages.join(known, F.col("article_title") == F.col("of_title"), "left").drop("of_title")
     return found.withColumn("prose", text.clean_paragraph(F.col("text"), min_chars, nested))

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, Extract, Mining, Rerank
+from ..config import DEFAULT, Mining, Rerank
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import encode, export, index, linkgraph, metrics, mining, passages, search
@@ -715,6 +715,11 @@ def triplets(spark, sf):
     return _triplets(spark, sf)[0]
 
 
+@query(f"with {_TRIPLETS} select distinct title as anchor from triplets")
+def distinct_anchors(spark, sf):
+    return mining.distinct_anchors(_triplets(spark, sf)[0])
+
+
 def _triplet_vectors(spark, sf):
     found, positives = _triplets(spark, sf)
     rows = _vectors(spark, sf)
