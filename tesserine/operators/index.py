@@ -79,7 +79,8 @@ def alignment(index: DataFrame, passages: DataFrame) -> DataFrame:
 def top_by(found: DataFrame, k: int, distance: str = "distance") -> DataFrame:
     """The k nearest of every query (qid) with rank_pos from 0; ties by idx."""
     near = Window.partitionBy("qid").orderBy(distance, "idx")
-    return found.withColumn("rank_pos", F.row_number().over(near) - 1).where(F.col("rank_pos") < k)
+    # The filter must be on the row number itself: only then does each partition pass on k rows a query.
+    return found.withColumn("place", F.row_number().over(near)).where(F.col("place") <= k).withColumn("rank_pos", F.col("place") - 1).drop("place")
 
 
 def search_flat(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -127,6 +127,13 @@ def test_flat_and_block_search_agree(spark):
     assert near(index.search_flat(rows, asked, 20)) == near(index.search_blocks(rows, asked, 20, block=64, asked=3)) == want
 
 
+def test_top_k_is_pruned_before_the_shuffle(spark):
+    _, rows = vectors(spark, 20)
+    asked = rows.where("idx < 3").select(F.col("idx").alias("qid"), F.col("embedding").alias("vec"))
+    plan = index.search_flat(rows, asked, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Final") < plan.index("Exchange hashpartitioning") < plan.index("Partial")
+
+
 def test_lists_and_codes(spark):
     x, rows = vectors(spark)
     asked = rows.where("idx < 20").select(F.col("idx").alias("qid"), F.col("embedding").alias("vec"))
