@@ -25,6 +25,14 @@ SQL_ESCAPES = {"0": "\0", "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a
 #: Common entities, in the order they are replaced; & comes last.
 COMMON_ENTITIES = [("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
 ARTICLE_URL = "https://en.wikipedia.org/wiki?curid="
+#: Patterns that decide what is markup.
+REFERENCE = r"(?is)<ref\b[^>]*>.*?</ref>"
+TAG = "<[^>]+>"
+FURNITURE = rf"(?iU)^{SPACE}*(?:\[\[\s*(?:{MEDIA})\s*:|[!|]|\{{\||\{{\{{|==)"
+EXTERNAL_LINK = r"(?U)\[(?:https?|ftp)://[^\s\]]*(?:\s+([^\]]*))?\]"
+QUOTE_RUN = "'{2,5}"
+STRAY = r"\[\[|\]\]|\{\{|\}\}|\{\||\|\}"
+SENTENCE = r"(?sU)^(.*?[.!?])\s"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -65,11 +73,11 @@ def decode_entities(c: Column, common: bool = False) -> Column:
 
 
 def drop_references(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?is)<ref\b[^>]*>.*?</ref>", " ")
+    return F.regexp_replace(c, REFERENCE, " ")
 
 
 def drop_tags(c: Column) -> Column:
-    return F.regexp_replace(c, "<[^>]+>", " ")
+    return F.regexp_replace(c, TAG, " ")
 
 
 def collapse_blank_lines(c: Column) -> Column:
@@ -92,7 +100,7 @@ def clean_text(c: Column, common_entities: bool = False) -> Column:
 
 def is_furniture(c: Column) -> Column:
     """Whether a paragraph begins as a media caption, a table, a template or a heading."""
-    return c.rlike(rf"(?iU)^{SPACE}*(?:\[\[\s*(?:{MEDIA})\s*:|[!|]|\{{\||\{{\{{|==)")
+    return c.rlike(FURNITURE)
 
 
 def _without_spans(text: str, opening: re.Pattern, tokens: re.Pattern, close: str) -> str:
@@ -137,15 +145,15 @@ def unwrap_links(c: Column) -> Column:
 
 
 def unwrap_external_links(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\[(?:https?|ftp)://[^\s\]]*(?:\s+([^\]]*))?\]", "$1")
+    return F.regexp_replace(c, EXTERNAL_LINK, "$1")
 
 
 def drop_quote_runs(c: Column) -> Column:
-    return F.regexp_replace(c, "'{2,5}", "")
+    return F.regexp_replace(c, QUOTE_RUN, "")
 
 
 def drop_stray_delimiters(c: Column) -> Column:
-    return F.regexp_replace(c, r"\[\[|\]\]|\{\{|\}\}|\{\||\|\}", "")
+    return F.regexp_replace(c, STRAY, "")
 
 
 def strip_markup(c: Column, nested: bool = True) -> Column:
@@ -195,7 +203,7 @@ def raw_paragraphs(c: Column) -> Column:
 def first_sentence(c: Column, most: int = 200) -> Column:
     """Up to the first . ! or ? before white space within the first characters, or all of these, stripped."""
     head = F.substring(c, 1, most)
-    found = F.regexp_extract(head, r"(?sU)^(.*?[.!?])\s", 1)
+    found = F.regexp_extract(head, SENTENCE, 1)
     return strip(F.when(found != "", found).otherwise(head))
 
 

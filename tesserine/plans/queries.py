@@ -687,12 +687,12 @@ def _long_passages(spark, sf):
 
 
 def _triplets(spark, sf):
-    """Two positives for each query: the passages of its article with the smallest idx."""
+    """The positives of each query: the other passages of its article with the smallest idx, as many as an article may have."""
     rows = _long_passages(spark, sf)
     own = rows.join(_asked(spark, sf).select(F.col("qid").alias("of_qid")), F.col("idx") == F.col("of_qid")).select(F.col("idx").alias("qid"), F.col("title").alias("of_title"))
     place = F.row_number().over(Window.partitionBy("qid").orderBy("idx"))
-    met = own.join(rows, F.col("title") == F.col("of_title")).where(F.col("idx") != F.col("qid")).withColumn("place", place).where("place <= 2")
-    positives = met.select((F.col("qid") * 10 + F.col("place")).alias("key"), "qid", "title", F.col("title").alias("anchor"), F.col("text").alias("positive"), F.col("idx").alias("positive_idx"))
+    met = own.join(rows, F.col("title") == F.col("of_title")).where(F.col("idx") != F.col("qid")).withColumn("place", place).where(F.col("place") <= DEFAULT.mining.triplets_per_article)
+    positives = met.select((F.col("qid") * 100 + F.col("place")).alias("key"), "qid", "title", F.col("title").alias("anchor"), F.col("text").alias("positive"), F.col("idx").alias("positive_idx"))
     linked = _links(spark, sf).join(_titles(spark, sf), F.pmod(F.col("page_id"), F.lit(10)) == F.col("label")).select(F.col("title").alias("from_title"), F.col("target").alias("to_title"))
     found = mining.triplets(positives.drop("positive_idx"), _band(spark, sf), rows, linked, settings=BAND)
     return found, positives
@@ -700,8 +700,8 @@ def _triplets(spark, sf):
 
 _TRIPLETS = f"""{_FLAT}, {_LINKS}, {_TITLES},
 passage as (select vec_id as idx, title, 'passage ' || vec_id || ' with enough characters to be mined' as text, embedding from embeddings join titles using (label)),
-positives as (select qid * 10 + place as key, qid, title, text as positive, idx as positive_idx from (
-  select q.idx as qid, p.idx, p.title, p.text, row_number() over (partition by q.idx order by p.idx) as place from passage q join passage p on p.title = q.title and p.idx <> q.idx where q.idx % {EVERY} = 0) where place <= 2),
+positives as (select qid * 100 + place as key, qid, title, text as positive, idx as positive_idx from (
+  select q.idx as qid, p.idx, p.title, p.text, row_number() over (partition by q.idx order by p.idx) as place from passage q join passage p on p.title = q.title and p.idx <> q.idx where q.idx % {EVERY} = 0) where place <= {DEFAULT.mining.triplets_per_article}),
 band as (select qid, idx from near where rank_pos >= {BAND.rank_min} and rank_pos < {BAND.rank_max}),
 sampled as (select * from (select key, title, positive, positive_idx, qid, idx, row_number() over (partition by key order by md5(concat_ws('|', '42', key::varchar, idx::varchar)), idx) as place from positives join band using (qid)) where place <= {BAND.pool}),
 linked as (select distinct t.title as from_title, target as to_title from links join titles t on t.label = page_id % 10),

@@ -12,6 +12,13 @@ from .. import schema
 from ..config import DEFAULT, Extract
 from ..functions import text
 
+#: Tuples of the three dumps, a page with its whole title, and links of raw pages.
+PAGE_TUPLE = r"\((\d+),\d+,'(.*?)',"
+WHOLE_PAGE_TUPLE = r"\((\d+),\d+,'((?:[^'\\]|\\.)*)',"
+LINK_TUPLE = r"\((\d+),0,(\d+)\)"
+TARGET_TUPLE = r"\((\d+),\d+,'(.*?)'\)"
+HREF = 'href="/([^"]*)"'
+
 
 def read_fragments(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """FRAGMENT rows of the <doc> elements in the files below a path, at any depth, with file_path.
@@ -128,20 +135,19 @@ def _title(c: str) -> Column:
 def parse_pages(lines: DataFrame, whole_titles: bool = False) -> DataFrame:
     """(page_id, title) of page tuples in any namespace. A title ends at the first ',: one that holds \\', is cut there,
     unless whole_titles asks for titles as they were written."""
-    body = r"(?:[^'\\]|\\.)*" if whole_titles else ".*?"
-    return _tuples(lines, rf"\((\d+),\d+,'({body})',", F.col("g1").cast("long").alias("page_id"), _title("g2").alias("title"))
+    return _tuples(lines, WHOLE_PAGE_TUPLE if whole_titles else PAGE_TUPLE, F.col("g1").cast("long").alias("page_id"), _title("g2").alias("title"))
 
 
 def parse_page_links(lines: DataFrame) -> DataFrame:
     """(from_id, to_id) of links from namespace 0."""
-    return _tuples(lines, r"\((\d+),0,(\d+)\)", F.col("g1").cast("long").alias("from_id"), F.col("g2").cast("long").alias("to_id"))
+    return _tuples(lines, LINK_TUPLE, F.col("g1").cast("long").alias("from_id"), F.col("g2").cast("long").alias("to_id"))
 
 
 def parse_link_targets(lines: DataFrame) -> DataFrame:
     """(lt_id, lt_title); the namespace is not kept."""
-    return _tuples(lines, r"\((\d+),\d+,'(.*?)'\)", F.col("g1").cast("long").alias("lt_id"), _title("g2").alias("lt_title"))
+    return _tuples(lines, TARGET_TUPLE, F.col("g1").cast("long").alias("lt_id"), _title("g2").alias("lt_title"))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(page_id, pos, target) of the href attributes of raw HTML pages, in their order."""
-    return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("pos", "target"))
+    return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("pos", "target"))

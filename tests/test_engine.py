@@ -289,6 +289,18 @@ def test_incremental_passages(spark, tmp_path):
     assert rows_of(spark.read.parquet(out), "article_title", "pos", "text") == [("t0", 0, "a"), ("t0", 1, "b"), ("t1", 0, "a"), ("t1", 1, "b")]
 
 
+def test_backlinks_of_a_stream(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    seen = [("B", "2024-01-01T10:00:00"), ("C", "2024-01-01T11:00:00"), ("B", "2024-01-01T12:00:00"), ("B", "2024-01-03T00:00:00")]
+    (source / "0.json").write_text("".join(json.dumps({"to_title": t, "seen": s}) + "\n" for t, s in seen))
+    (source / "1.json").write_text(json.dumps({"to_title": "C", "seen": "2023-12-01T00:00:00"}) + "\n")
+    stream = spark.readStream.schema("to_title string, seen timestamp").option("maxFilesPerTrigger", 1).option("latestFirst", "false").json(str(source))
+    run = incremental.backlink_stream(stream).writeStream.outputMode("complete").format("memory").queryName("counted").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sum(r["count"] for r in spark.table("counted").where("title = 'B'").collect()) == 3
+
+
 def test_whole_build_and_command_line(spark, dumps, tmp_path, capsys, monkeypatch):
     raw, out = tmp_path / "raw", str(tmp_path / "built")
     raw.mkdir()

@@ -43,7 +43,7 @@ def slow_prose(t):
 
 
 CASES = [
-    ("[[File:a.jpg|thumb|[[Some One]] became manager]] Then prose.", "Then prose."), ("a {{cite|{{inner}} x}} b", "a b"), ("a [[File:cut off", "a"), ("[[stty|]] and [[a|b]] and [[c]]", "stty and b and c"),
+    ("[[File:q.png|left|a view of [[Hill|the hill]] at dawn]] Prose after it.", "Prose after it."), ("a {{cite|{{inner}} x}} b", "a b"), ("a [[File:cut off", "a"), ("[[north|]], [[a|b]], [[c]]", "north, b, c"),
     ("[[a|[[b]]]]", "b"), ("[[]]x", "x"), ("'''bold''' ''it''", "bold it"), ("[http://a.b/c d e] [https://x.y]", "d e"), ("]] {| x |} [[", "x"), ("a \t b", "a b"), ("", ""), ("plain", "plain"),
 ]
 
