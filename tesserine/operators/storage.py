@@ -21,7 +21,7 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows; otherwise the planner shuffles."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).collect()) <= rows else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def save(df: DataFrame, path: str, overwrite: bool = False, by: list[str] | None = None) -> None:
