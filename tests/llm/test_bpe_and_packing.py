@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import struct
 import zlib
 from collections import defaultdict
@@ -68,6 +69,15 @@ def test_bpe_query_round_trip(spark, sf, library):
         assert r["ids_sha256"] == hashlib.sha256(packed(ids)).hexdigest() and r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
+def test_packing_ids_are_those_of_the_library(library):
+    ids_of, r = packing._ids_of(TOKENIZER), random.Random(4)
+    common = [chr(c) for c in range(0x2100) if re.match(f"[{packing._COMMON}]", chr(c))]
+    texts = ["".join(r.choice(common) if r.random() < 0.5 else r.choice(" \n\t'sdtrellm09a.,!  ") for _ in range(r.randint(1, 25))) for _ in range(5000)]
+    texts += [x for c in common for x in (c, "a" + c, c + "1", f" {c} {c}", f". {c}")] + ["a<|endoftext|>b", "漢字 \x1c\x85", "\u3000 x"]
+    for t in texts:
+        assert ids_of(t) == library.encode(t, add_special_tokens=False).ids, t
+
+
 def assert_packed(rows, texts, library):
     want = defaultdict(int)
     for i, t in texts:
