@@ -396,7 +396,7 @@ c as (select doc_id, string_agg(line, chr(10) || chr(10) order by i) as content
 select doc_id, content from c where len(regexp_extract_all(content, '\\S+')) >= 100""")
 def clean_articles(spark, sf):
     fragments = _articles(spark, sf).select("id", "url", "title", F.col("content").alias("raw"))
-    return readers.articles(fragments, DEFAULT.extract, common_entities=True, nested=False).select(F.col("id").cast("long").alias("doc_id"), "content")
+    return readers.articles(fragments, DEFAULT.extract, nested=False).select(F.col("id").cast("long").alias("doc_id"), "content")
 
 
 _ENTITIES = "html"
@@ -408,7 +408,8 @@ for _entity, _char in T.COMMON_ENTITIES:
 s as (select page_id, regexp_replace(regexp_replace(body, '\s*\n\s*\n\s*', chr(10), 'g'), '[ \t]+', ' ', 'g') as body from c)
 select page_id, trim(array_to_string([trim(x) for x in string_split(body, chr(10))], chr(10)), ' ' || chr(10)) as text from s""")
 def clean_html(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.clean_text(F.col("html"), common_entities=True).alias("text"))
+    # All entities of HTML5; SQL has only the closed set.
+    return table(spark, sf, "pages").select("page_id", T.clean_text(F.col("html")).alias("text"))
 
 
 #: Markup put around documents, by doc_id, so that every kind of it comes up; the same on both sides.
