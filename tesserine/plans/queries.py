@@ -396,7 +396,7 @@ c as (select doc_id, string_agg(line, chr(10) || chr(10) order by i) as content
 select doc_id, content from c where len(regexp_extract_all(content, '\\S+')) >= 100""")
 def clean_articles(spark, sf):
     fragments = _articles(spark, sf).select("id", "url", "title", F.col("content").alias("raw"))
-    return readers.articles(fragments, DEFAULT.extract, nested=False).select(F.col("id").cast("long").alias("doc_id"), "content")
+    return readers.articles(fragments, DEFAULT.extract).select(F.col("id").cast("long").alias("doc_id"), "content")
 
 
 _ENTITIES = "html"
@@ -448,6 +448,12 @@ def strip_markup(spark, sf):
     return _decorated(spark, sf).select("doc_id", T.strip_markup(F.col("marked"), nested=False).alias("prose"))
 
 
+@query()
+def strip_markup_whole(spark, sf):
+    """strip_markup with embedded media and templates removed first, which its SQL leaves out."""
+    return _decorated(spark, sf).select("doc_id", T.strip_markup(F.col("marked")).alias("prose"))
+
+
 @query(rf"""with m as (select doc_id, {_decorated_sql()} as marked from documents),
 n as (select doc_id, regexp_replace(regexp_replace(marked, '\[\[\s*(?i:File|Image|Media)\s*:[^\[\]]*\]\]', '', 'g'), '\{{\{{[^{{}}]*\}}\}}', '', 'g') as marked from m)
 select doc_id, marked as kept from n""")
@@ -771,11 +777,11 @@ def article_titles(spark, sf):
     return export.article_titles(_articles(spark, sf), F.col("doc_id"))
 
 
-def _kv(spark, sf):
+def _kv(spark, sf, nested=False):
     rows = _decorated(spark, sf).join(_articles(spark, sf).select("doc_id", "title"), "doc_id")
     every = rows.select(F.col("doc_id").alias("idx"), F.col("title").alias("article_title"), F.col("marked").alias("text"))
     ids = export.curids(export.article_titles(_articles(spark, sf), F.col("doc_id"))).where(F.col("curid") % 7 != 0)
-    return export.key_values(every, ids, nested=False)
+    return export.key_values(every, ids, nested=nested)
 
 
 _KV = f"""with m as (select doc_id, {_TITLE} as title, {_decorated_sql()} as marked from documents),
@@ -789,7 +795,19 @@ def kv_export(spark, sf):
     return export.items(_kv(spark, sf))
 
 
+@query()
+def kv_export_whole(spark, sf):
+    """kv_export with embedded media and templates removed from its prose, which its SQL leaves out."""
+    return export.items(_kv(spark, sf, nested=True))
+
+
 @query(f"""{_KV} select count(*) as n_read, count(prose) as n_written, count(*) - count(prose) as n_dropped, count(*) filter (where prose <> marked) as n_cleaned,
   count(*) filter (where prose is not null and curid is null) as n_missing_curid from kv""")
 def kv_export_counters(spark, sf):
     return export.counters(_kv(spark, sf))
+
+
+@query()
+def kv_export_counters_whole(spark, sf):
+    """The counters of kv_export_whole."""
+    return export.counters(_kv(spark, sf, nested=True))

@@ -1,10 +1,13 @@
 """Registered queries on small tables whose rows need the whole job, against slow versions."""
 
 import html
+import json
 import re
 
 from tesserine.plans.queries import QUERIES
 
+from .test_text import slow_prose
+
 WORDS = " ".join(f"word{k}" for k in range(110))
 
 
@@ -27,3 +30,20 @@ def test_clean_queries_decode_every_entity(spark, tmp_path):
     assert got == {k: slow_clean(t) for k, t in enumerate(pages)}
     sf = documents(spark, tmp_path, [f"caf&eacute; &#233; &mdash; {WORDS} &amp x"])
     assert [r["content"] for r in QUERIES["clean_articles"](spark, sf).collect()] == [f"café é — {WORDS} & x"]
+
+
+SPANS = f"{WORDS} [[File:a.jpg|thumb|a [[deep|view]]]] more {{{{cite|{{{{inner}}}} x}}}} end [[b|c]]"
+
+
+def test_queries_remove_spans_inside_prose(spark, tmp_path):
+    sf = documents(spark, tmp_path, [SPANS] * 10)
+    marked = {k: t for k, t in QUERIES["remove_nested"](spark, sf).collect()}
+    assert len(marked) == 10 and all("thumb" not in t and "cite" not in t for t in marked.values())
+    got = dict(QUERIES["strip_markup_whole"](spark, sf).collect())
+    assert got == {k: slow_prose(t) for k, t in marked.items()}
+    assert [r["content"] for r in QUERIES["clean_articles"](spark, sf).collect()] == [slow_prose(SPANS)] * 10
+    items = {r["idx"]: json.loads(r["item"])["Item"] for r in QUERIES["kv_export_whole"](spark, sf).collect()}
+    # 0, 1, 2, 6 and 9 are furniture
+    assert {k: x["text"]["S"] for k, x in items.items()} == {k: got[k] for k in (3, 4, 5, 7, 8)}
+    (n,) = QUERIES["kv_export_counters_whole"](spark, sf).collect()
+    assert (n["n_read"], n["n_written"], n["n_dropped"]) == (10, 5, 5)
