@@ -777,11 +777,11 @@ def article_titles(spark, sf):
     return export.article_titles(_articles(spark, sf), F.col("doc_id"))
 
 
-def _kv(spark, sf, nested=False):
+def _kv(spark, sf, whole=False):
     rows = _decorated(spark, sf).join(_articles(spark, sf).select("doc_id", "title"), "doc_id")
     every = rows.select(F.col("doc_id").alias("idx"), F.col("title").alias("article_title"), F.col("marked").alias("text"))
-    ids = export.curids(export.article_titles(_articles(spark, sf), F.col("doc_id"))).where(F.col("curid") % 7 != 0)
-    return export.key_values(every, ids, nested=nested)
+    ids = export.curids(export.article_titles(_articles(spark, sf), F.col("doc_id")))
+    return export.key_values(every, ids if whole else ids.where(F.col("curid") % 7 != 0), nested=whole)
 
 
 _KV = f"""with m as (select doc_id, {_TITLE} as title, {_decorated_sql()} as marked from documents),
@@ -797,8 +797,8 @@ def kv_export(spark, sf):
 
 @query()
 def kv_export_whole(spark, sf):
-    """kv_export with embedded media and templates removed from its prose, which its SQL leaves out."""
-    return export.items(_kv(spark, sf, nested=True))
+    """kv_export with embedded media and templates removed from its prose and with all curids, which its SQL leaves out."""
+    return export.items(_kv(spark, sf, whole=True))
 
 
 @query(f"""{_KV} select count(*) as n_read, count(prose) as n_written, count(*) - count(prose) as n_dropped, count(*) filter (where prose <> marked) as n_cleaned,
@@ -810,4 +810,4 @@ def kv_export_counters(spark, sf):
 @query()
 def kv_export_counters_whole(spark, sf):
     """The counters of kv_export_whole."""
-    return export.counters(_kv(spark, sf, nested=True))
+    return export.counters(_kv(spark, sf, whole=True))

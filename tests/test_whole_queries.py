@@ -4,6 +4,7 @@ import html
 import json
 import re
 
+from tesserine.operators import export
 from tesserine.plans.queries import QUERIES
 
 from .test_text import slow_prose
@@ -47,3 +48,19 @@ def test_queries_remove_spans_inside_prose(spark, tmp_path):
     assert {k: x["text"]["S"] for k, x in items.items()} == {k: got[k] for k in (3, 4, 5, 7, 8)}
     (n,) = QUERIES["kv_export_counters_whole"](spark, sf).collect()
     assert (n["n_read"], n["n_written"], n["n_dropped"]) == (10, 5, 5)
+
+
+def test_export_joins_every_curid(spark, tmp_path):
+    sf = documents(spark, tmp_path, [WORDS] * 100)
+    items = [json.loads(r["item"])["Item"] for r in QUERIES["kv_export_whole"](spark, sf).collect()]
+    last = {}
+    for k in range(100):
+        last[f"doc-s{k % 2}-{k % 50}"] = k
+    assert len(items) == 50 and any(k % 7 == 0 for k in last.values())
+    assert all(x["curid"]["N"] == str(last[x["title"]["S"]]) for x in items)
+    (n,) = QUERIES["kv_export_counters_whole"](spark, sf).collect()
+    assert n["n_missing_curid"] == 0
+    rows = spark.createDataFrame([(0, "A", "kept"), (1, "B", "kept")], "idx long, article_title string, text string")
+    some = export.key_values(rows, spark.createDataFrame([("A", 7)], "title string, curid long"))
+    assert "curid" not in json.loads(dict(export.items(some).collect())[1])["Item"]
+    assert export.counters(some).first()["n_missing_curid"] == 1
