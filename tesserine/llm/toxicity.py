@@ -34,6 +34,8 @@ LEAST_DOCUMENTS, LEAST_WEIGHT = 4, 1.5
 TIERS = (1.5, 2.5, 3.5, 4.5, 5.5)
 BEGINNINGS = (4, 5, 6, 7)
 MEMO_WORDS = 200_000
+#: White space that ends no line.
+BLANKS = "\t\x1f \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 #: Word lists of the grammar.
 INSULTS = "idiot moron scum loser pathetic worthless stupid trash clown disgusting imbecile dumb filthy vermin bastard".split()
@@ -148,7 +150,7 @@ class Grammar:
     def events(self, text: str) -> np.ndarray:
         """How often each event is matched in the clauses of a text."""
         known, letters = self.memo.get, self.letters
-        line = "".join([x if (x := known(w)) is not None else letters(w) for w in text.lower().replace("\n", " \x00 ").split(" ") if w])
+        line = "".join([x if (x := known(w)) is not None else letters(w) for w in " \x00 ".join(text.lower().splitlines()).split()])
         counts = np.zeros(len(EVENTS))
         for clause in _HIT.findall(line):
             state = 0
@@ -161,7 +163,7 @@ class Grammar:
 
     def features(self, text: str) -> np.ndarray:
         n = self.events(text)
-        length = 1 + text.count(" ")
+        length = 1 + sum(map(text.count, BLANKS))
         return np.concatenate([np.log1p(n), [math.log1p(100 * n.sum() / length), math.log(length) if n.any() else 0.0]])
 
     def score(self, text: str | None) -> float:

@@ -96,6 +96,17 @@ def test_grammar_tells_scopes_apart():
     assert g.score(None) == g.score("")
 
 
+def test_words_stand_between_white_space_of_any_kind():
+    assert set(toxicity.BLANKS) == {c for c in map(chr, range(0x110000)) if c.isspace() and len(f"a{c}b".splitlines()) == 1}
+    g = toxicity.learn([])
+    text = "you are a worthless idiot and I will kill you you scum"
+    assert g.score(text) > 0.3
+    for blank in toxicity.BLANKS:
+        assert (g.features(text.replace(" ", blank)) == g.features(text)).all()
+    for end in ("\r", "\r\n", "\x0b", "\f", "\x85", "\u2028"):
+        assert (g.features(f"it was said{end}a moron{end}you fool") == g.features("it was said\na moron\nyou fool")).all()
+
+
 def test_attention_gradient_is_the_slope():
     r = np.random.default_rng(0)
     model = quality.Attention(np.zeros(15), np.ones(15))
