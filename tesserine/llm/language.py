@@ -9,6 +9,7 @@ host with few pages leans on its domain, a domain on everything. A page's own te
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from dataclasses import dataclass
@@ -22,6 +23,8 @@ from .labelled import TEACHING_CHARS
 
 #: At most so many labelled documents of each language teach the text models.
 TEACHING_ROWS = 1_000
+#: Of a language that has only longer texts than TEACHING_CHARS, so many teach, whole.
+LONG_ROWS = 20
 TABLE = 1 << 14
 #: Trigrams overlap, so a text says as much as so many independent ones at most, at this share of their number.
 TEMPER, MOST_TRIGRAMS = 0.15, 400
@@ -68,30 +71,69 @@ class TextModel:
         return (total - total.max()).tolist()
 
 
+def _model(total: dict[str, np.ndarray]) -> TextModel:
+    languages = sorted(total) or ["und"]
+    counts = np.array([total.get(lang, np.zeros(TABLE)) + 0.5 for lang in languages])
+    return TextModel(languages, np.log(counts / counts.sum(axis=1, keepdims=True)))
+
+
 def learn(rows: list[tuple[str, str]]) -> TextModel:
     """Trigram models from (text, language)."""
-    languages = sorted({lang for _, lang in rows}) or ["und"]
-    counts = np.full((len(languages), TABLE), 0.5)
+    total: dict[str, np.ndarray] = {}
     for text, lang in rows:
-        counts[languages.index(lang)] += np.bincount(_hashes(text), minlength=TABLE)
-    return TextModel(languages, np.log(counts / counts.sum(axis=1, keepdims=True)))
+        total[lang] = total.get(lang, 0) + np.bincount(_hashes(text), minlength=TABLE)
+    return _model(total)
 
 
 def taught(docs: DataFrame) -> TextModel:
-    """From a bounded sample of documents (text, lang), the first of each language by a hash of doc_id."""
-    rows = pick(docs, doc_id="doc_id", text="text", lang="lang").where("doc_id is not null and lang is not null").where(F.length("text") <= TEACHING_CHARS)
-    known = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
+    """From a bounded sample of documents (text, lang) of every language, the first of each by a hash of doc_id.
+
+    Texts of more than TEACHING_CHARS teach only where a language has no shorter ones, and then LONG_ROWS of them.
+    """
+    rows = pick(docs, doc_id="doc_id", text="text", lang="lang").where("doc_id is not null and lang is not null and text is not null")
+    short = F.length("text") <= TEACHING_CHARS
+    # One row for each language comes to the driver.
+    known = rows.groupBy("lang").agg(F.count_if(short).alias("n")).collect()
+    many = sorted(r["lang"] for r in known if r["n"] > TEACHING_ROWS)
+    few = [r["lang"] for r in known if 0 < r["n"] <= TEACHING_ROWS]
+    long = sorted(r["lang"] for r in known if not r["n"])
     order = F.xxhash64("doc_id")
-    sample = None
-    for lang in known:
-        own = rows.where(F.col("lang") == lang).select("doc_id", "lang").orderBy(order, "doc_id").limit(TEACHING_ROWS)
-        sample = own if sample is None else sample.union(own)
-    if sample is None:
+    first = lambda lang, some, most: some.where(F.col("lang") == lang).select("doc_id", "lang").orderBy(order, "doc_id").limit(most)
+    parts = [first(lang, rows.where(short), TEACHING_ROWS) for lang in many] + [first(lang, rows, LONG_ROWS) for lang in long]
+    if few:
+        parts.append(rows.where(short & F.col("lang").isin(few)).select("doc_id", "lang"))
+    if not parts:
         return learn([])
-    # At most 64 languages times TEACHING_ROWS rows.
-    some = cut(sample.select(F.col("doc_id").alias("of_id")).distinct())
-    found = rows.join(F.broadcast(some), F.col("doc_id") == F.col("of_id")).dropDuplicates(["doc_id"]).orderBy("doc_id")
-    return learn([(r["text"], r["lang"]) for r in found.select("text", "lang").collect()])
+    # At most TEACHING_ROWS rows a language.
+    some = cut(functools.reduce(DataFrame.union, parts).select(F.col("doc_id").alias("of_id"), F.col("lang").alias("of_lang")).distinct())
+    mine = (F.col("doc_id") == F.col("of_id")) & (F.col("lang") == F.col("of_lang"))
+    found = rows.where(short | F.col("lang").isin(long)).join(F.broadcast(some), mine).dropDuplicates(["doc_id", "lang"])
+    return _counted(cut(found.select("lang", "text")))
+
+
+def _counted(found: DataFrame) -> TextModel:
+    """learn() of rows (lang, text), with the trigrams counted where the texts are: only counts come to the driver."""
+
+    def make():
+        def work(columns):
+            sums: dict[str, np.ndarray] = {}
+            for lang, text in zip(*columns):
+                sums[lang] = sums.get(lang, 0) + np.bincount(_hashes(text), minlength=TABLE)
+            cells = [np.flatnonzero(x) for x in sums.values()]
+            out = {"lang": [lang for lang, at in zip(sums, cells) for _ in at], "cell": [], "n": []}
+            for x, at in zip(sums.values(), cells):
+                out["cell"] += at.tolist()
+                out["n"] += x[at].tolist()
+            return out
+
+        return work
+
+    # A language none of whose texts has letters is one all the same. At most TABLE cells a language come to the driver.
+    total = {r["lang"]: np.zeros(TABLE) for r in found.select("lang").distinct().collect()}
+    cells = arrow_rows(found, "lang string, cell int, n long", make).groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    for lang, cell, n in zip(cells["lang"].to_pylist(), cells["cell"].to_pylist(), cells["n"].to_pylist()):
+        total[lang][cell] = n
+    return _model(total)
 
 
 def _address(url: str | None, languages: list[str]) -> tuple[str, str, str]:

@@ -178,3 +178,17 @@ def test_language_fusion_overrules_weak_evidence(spark, sf):
 def test_language_query_agrees_with_markup_mostly(spark, sf):
     rows = QUERIES["op3_language_id"](spark, sf).collect()
     assert sum(r["lang"] == r["declared_lang"] for r in rows) >= 0.97 * len(rows)
+
+
+def test_every_language_teaches(spark):
+    letters = "abcdefghijklmnop"
+    word = lambda k: letters[k // 16] * 3 + letters[k % 16] * 2
+    rows = [(k, f"{word(k)} " * 30, f"l{k:02d}") for k in range(70)] + [(100 + k, "zq " * 20_000, "long") for k in range(30)]
+    rows += [(200, "none of l00 " * 6_000, "l00"), (201, None, "l00")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.taught(docs)
+    assert model.languages == sorted({lang for *_, lang in rows}) and len(model.languages) == 71
+    held = [(t, lang) for i, t, lang in rows if i < 100] + [("zq " * 20_000, "long")] * language.LONG_ROWS
+    assert np.array_equal(model.logs, language.learn(held).logs)
+    best = lambda t: model.languages[int(np.argmax(model.log_likelihood(t)))]
+    assert best(f"{word(69)} " * 9) == "l69" and best("zq zq zq") == "long"
