@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,11 +28,16 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. A temporary folder is set only where that setting is missing."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, as in tests, a local master gets a temporary folder.
+
+    On a cluster a temporary folder would be another one on each machine, so there the setting is asked for.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir is not set: a folder that all machines share is needed")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tesserine-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get()
@@ -51,25 +57,53 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: the lineage ends there, and its size is known to the planner."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._cut_path = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote, once all that reads them has been written itself. Others are left alone."""
+    for table in tables:
+        if (path := getattr(table, "_cut_path", None)) is not None:
+            _remove(table.sparkSession, path)
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df is one file scan with nothing but filters and projections above it, all of which a recomputation repeats.
+
+    Only then do file and position name a row: a generator gives several rows one position, and a union, a join or a
+    limit may do so too.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" or plan.nodeName().startswith("Relation")
 
 
 def with_row_key(df: DataFrame) -> DataFrame:
-    """df as columns c0, c1, ... with a row identity (file_key, row_key) that a recomputation repeats.
+    """df as columns c0, c1, ... with a row identity (file_key, row_key) that no two rows share and a recomputation repeats.
 
-    Rows of a file scan are named by file and position; any other DataFrame is written out first.
+    Rows of a file scan are named by file and position. Any other DataFrame is numbered once and written out; whoever
+    needs the keys twice has to use the same result twice.
     """
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    try:
-        return plain.select("*", F.xxhash64("_metadata.file_path").alias("file_key"), F.col("_metadata.row_index").alias("row_key"))
-    except AnalysisException:
-        pass
-    try:
-        meta = df.select("*", "_metadata")
-        named = meta.toDF(*[f"c{i}" for i in range(len(df.columns))], "source_meta")
-        return named.select(*plain.columns, F.xxhash64("source_meta.file_path").alias("file_key"), F.col("source_meta.row_index").alias("row_key"))
-    except AnalysisException:
-        return cut(plain.withColumns({"file_key": F.lit(0).cast("long"), "row_key": F.monotonically_increasing_id()}))
+    if _is_scan(df):
+        try:
+            meta = df.select("*", "_metadata")
+            named = meta.toDF(*plain.columns, "source_meta")
+            return named.select(*plain.columns, F.xxhash64("source_meta.file_path").alias("file_key"), F.col("source_meta.row_index").alias("row_key"))
+        except AnalysisException:
+            pass
+    return cut(plain.withColumns({"file_key": F.lit(0).cast("long"), "row_key": F.monotonically_increasing_id()}))
+
+
+def without_rows(keyed: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of with_row_key() whose keys are not among gone (gone_file, gone_row), with their own column names."""
+    left = keyed.join(gone, (F.col("file_key") == F.col("gone_file")) & (F.col("row_key") == F.col("gone_row")), "left_anti")
+    return left.drop("file_key", "row_key").toDF(*columns)
 
 
 def column_of(df: DataFrame, name: str) -> str:

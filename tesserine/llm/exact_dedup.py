@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, with_row_key, column_of
+from .common import column_of, cut, release, with_row_key, without_rows
 
 #: Fingerprints that a block of the merged filter holds, about: what one task merges.
 BLOCK = 1 << 16
@@ -37,10 +37,27 @@ class QuotientFilter:
     def prints(self) -> np.ndarray:
         return (np.repeat(self.buckets, self.lengths).astype(np.uint64) << np.uint64(REMAINDER_BITS)) | self.remainders.astype(np.uint64)
 
+    def _with(self, other: QuotientFilter) -> QuotientFilter:
+        """Both filters' runs, merged in one pass: the remainders of either stand sorted within their buckets, so the place
+        of each in the other follows from a search, and nothing is sorted again. Counts of equal remainders add up."""
+        a, b = self.prints(), other.prints()
+        at = np.searchsorted(a, b)
+        same = at < len(a)
+        same[same] = a[at[same]] == b[same]
+        counts = self.counts.copy()
+        counts[at[same]] += other.counts[same]
+        new = ~same
+        whole, total = np.insert(a, at[new], b[new]), np.insert(counts, at[new], other.counts[new])
+        bucket = (whole >> np.uint64(REMAINDER_BITS)).astype(np.uint32)
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+        return QuotientFilter(bucket[first], np.diff(np.r_[first, len(bucket)]).astype(np.uint32), (whole & np.uint64((1 << REMAINDER_BITS) - 1)).astype(np.uint32), total)
+
     @classmethod
     def merged(cls, parts: list[QuotientFilter]) -> QuotientFilter:
-        """The runs of the parts, merged bucket by bucket in the order of their remainders; counts of equal ones add up."""
-        return cls.of(np.concatenate([p.prints() for p in parts]), np.concatenate([p.counts for p in parts]))
+        """All parts in one, merged two by two: each remainder takes part in as many merges as halving has rounds."""
+        while len(parts) > 1:
+            parts = [parts[i]._with(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        return parts[0] if parts else cls.of(np.zeros(0, np.uint64))
 
     def to_bytes(self) -> bytes:
         return b"".join([np.array([len(self.buckets), len(self.remainders)], np.uint32).tobytes(), self.buckets.tobytes(), self.lengths.tobytes(), self.remainders.tobytes(), self.counts.astype(np.uint64).tobytes()])
@@ -101,8 +118,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the most code points stays, then the smallest doc_id (null last), then the first of repeated rows: one row of each
     group is kept. An empty table gives an empty result; other columns are left out.
     """
-    keyed = with_row_key(docs)
-    key, text = F.col(column_of(docs, id_col)), F.col(column_of(docs, text_col))
+    return _groups(with_row_key(docs), column_of(docs, id_col), column_of(docs, text_col))
+
+
+def _groups(keyed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    key, text = F.col(id_col), F.col(text_col)
     squeezed = keyed.select("file_key", "row_key", key.cast("long").alias("doc_id"), F.coalesce(F.length(text), F.lit(0)).alias("n_points"), _squeezed(text).alias("squeezed"))
     rows = cut(squeezed.select("file_key", "row_key", "doc_id", "n_points", F.sha2("squeezed", 256).alias("text_sha256"), F.xxhash64("squeezed").alias("print")))
     hot = cut(counted_twice(rows, rows.count()).select(F.col("print").alias("hot_print")))
@@ -119,6 +139,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # A text that shares its digest with other bytes would show here, as a count that differs.
     same = F.when(F.col("n_rows") == F.col("group_size"), F.col("group_size")).otherwise(F.raise_error(F.lit("two texts with one SHA-256")).cast("long"))
     groups = cut(best.join(verified, F.col("best_sha256") == F.col("of_sha256")).select("best_sha256", same.alias("group_size"), "best"))
+    release(hot)
 
     own = (F.col("best.file_key") == F.col("file_key")) & (F.col("best.row_key") == F.col("row_key"))
     return rows.join(groups, F.col("text_sha256") == F.col("best_sha256"), "left").select(
@@ -133,8 +154,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with one row of each group of equal texts (see exact_groups); all columns stay."""
-    gone = cut(exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("file_key").alias("gone_file"), F.col("row_key").alias("gone_row")))
+    """docs, with one row of each group of equal texts (see exact_groups); all columns stay.
+
+    Any frame will do, also one of a join, a union or a generator: its rows are numbered once.
+    """
     keyed = with_row_key(docs)
-    left = keyed.join(gone, (F.col("file_key") == F.col("gone_file")) & (F.col("row_key") == F.col("gone_row")), "left_anti")
-    return left.drop("file_key", "row_key").toDF(*docs.columns)
+    groups = _groups(keyed, column_of(docs, id_col), column_of(docs, text_col))
+    gone = cut(groups.where(~F.col("kept")).select(F.col("file_key").alias("gone_file"), F.col("row_key").alias("gone_row")))
+    return without_rows(keyed, gone, docs.columns)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, column_of, cut, pick, with_row_key
+from .common import arrow_rows, column_of, cut, release, with_row_key, without_rows
 
 LINK_BITS = 3
 #: An anchor with more fingerprints is compared in squares of about so many on a side, in as many tasks as there are squares.
@@ -199,9 +199,11 @@ def components(edges: DataFrame) -> DataFrame:
         hooked = labels.join(around, F.col("node") == F.col("a")).select("node", F.col("root").alias("was"), F.least("root", "around").alias("root"))
         label = labels.select(F.col("node").alias("of"), F.col("root").alias("further"))
         new = cut(hooked.join(label, F.col("root") == F.col("of")).select("node", "was", F.least("root", "further").alias("root")))
+        release(labels)
+        labels = new
         if new.where("root <> was").isEmpty():
+            release(both)
             return new.select("node", "root")
-        labels = new.select("node", "root")
 
 
 def _hex(column: str) -> F.Column:
@@ -218,8 +220,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shingle; without words, and for null, the fingerprint is zero and links like any other. Equal fingerprints are one
     node, however many rows have them. An empty table gives an empty result; other columns are left out.
     """
-    keyed = with_row_key(docs)
-    rows = keyed.select(F.col(column_of(docs, id_col)).cast("long"), F.col(column_of(docs, text_col)), "file_key", "row_key")
+    return _groups(with_row_key(docs), column_of(docs, id_col), column_of(docs, text_col))
+
+
+def _groups(keyed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = keyed.select(F.col(id_col).cast("long"), F.col(text_col), "file_key", "row_key")
 
     def make():
         def work(columns):
@@ -239,11 +244,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with one row of each component: the one with the smallest doc_id (null last), then the first; all columns stay."""
-    rows = cut(near_groups(docs, id_col, text_col))
+    """docs, with one row of each component: the one with the smallest doc_id (null last), then the first; all columns stay.
+
+    Any frame will do, also one of a join, a union or a generator: its rows are numbered once.
+    """
+    keyed = with_row_key(docs)
+    rows = cut(_groups(keyed, column_of(docs, id_col), column_of(docs, text_col)))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file_key", "row_key")
     best = rows.groupBy(F.col("root").alias("of_root")).agg(F.min(rank).alias("best"), F.count("*").alias("n")).where("n > 1")
     gone = rows.join(best, F.col("root") == F.col("of_root")).where((F.col("best.file_key") != F.col("file_key")) | (F.col("best.row_key") != F.col("row_key")))
     gone = cut(gone.select(F.col("file_key").alias("gone_file"), F.col("row_key").alias("gone_row")))
-    left = with_row_key(docs).join(gone, (F.col("file_key") == F.col("gone_file")) & (F.col("row_key") == F.col("gone_row")), "left_anti")
-    return left.drop("file_key", "row_key").toDF(*docs.columns)
+    release(rows)
+    return without_rows(keyed, gone, docs.columns)
