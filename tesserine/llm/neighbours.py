@@ -82,9 +82,7 @@ class Segment:
     def candidates(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
         """For each query (unit vectors) the rows of the segment that collide often enough, at least k of them if there are."""
         n, m = len(self.unit), len(self.sorted)
-        want = min(n, max(LEAST, int(SHARE * n), 4 * k))
-        if n <= want:
-            return [np.arange(n)] * len(queries)
+        want = min(n, max(LEAST, int(SHARE * n), 4 * k))  # a small segment widens until all of it collides
         at, least = queries @ self.to, min(THRESHOLD, m)
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
         half = self._start(want, least)
@@ -120,36 +118,43 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     """
     keyed = with_row_key(vectors)
     vector = F.transform(F.col(column_of(vectors, vector_col)), lambda x: x.cast("double"))
-    rows = keyed.select(F.col(column_of(vectors, id_col)).cast("long").alias("vec_id"), vector.alias("vector"), "file_key", "row_key")
+    own_id = F.col(column_of(vectors, id_col)).cast("long")
+    # A null id is a flag beside a number: a column of whole numbers with nulls would reach Python as doubles.
+    rows = keyed.select(F.coalesce(own_id, F.lit(0)).alias("vec_id"), own_id.isNull().alias("no_id"), vector.alias("vector"), "file_key", "row_key")
     rows = cut(rows.where(_valid(F.col("vector"))).withColumn("dim", F.size("vector")))
-    queries = rows.where(F.col("vec_id") % every == 0)
+    queries = rows.where(~F.col("no_id") & (F.col("vec_id") % every == 0))
     segments = max(1, -(-rows.count() // SEGMENT))
     groups = max(1, -(-queries.count() // QUERIES))
     deal = F.xxhash64("file_key", "row_key")
     left = rows.withColumn("segment", F.pmod(deal, F.lit(segments)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = queries.withColumn("part", F.pmod(deal, F.lit(groups)).cast("int")).withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))))
-    out = "query_id long, query_file long, query_row long, vec_id long, score double, file_key long, row_key long"
-    names = [x.split(" ")[0] for x in out.split(", ")]
+    right = queries.drop("no_id").withColumn("part", F.pmod(deal, F.lit(groups)).cast("int")).withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))))
+    out = "query_id long, query_file long, query_row long, vec_id long, no_id boolean, score double, file_key long, row_key long"
+    kinds = {"long": "int64", "double": "float64", "boolean": "bool"}
+    fields = {n: kinds[k] for n, k in (x.split(" ") for x in out.split(", "))}
 
     def search(index, asked):
         if not len(index) or not len(asked):
-            return pd.DataFrame({n: pd.Series(dtype="float64" if n == "score" else "int64") for n in names})
+            return pd.DataFrame({n: pd.Series(dtype=k) for n, k in fields.items()})
         x, q = np.stack(index["vector"].to_numpy()), np.stack(asked["vector"].to_numpy())
         norm, own = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
         found = Segment(x / norm[:, None]).candidates(q / own[:, None], k + 1)
-        ids, files, places = index["vec_id"].to_numpy(), index["file_key"].to_numpy(), index["row_key"].to_numpy()
-        rows = []
-        for i, (name, file, place) in enumerate(zip(asked["vec_id"], asked["file_key"], asked["row_key"])):
+        ids, no_id, files, places = (index[c].to_numpy() for c in ("vec_id", "no_id", "file_key", "row_key"))
+        picked, of, scores = [], [], []
+        for i, (file, place) in enumerate(zip(asked["file_key"], asked["row_key"])):
             c = found[i]
             c = c[(files[c] != file) | (places[c] != place)]
             cosine = (x[c] * q[i]).sum(axis=1) / (norm[c] * own[i])
-            for r in np.lexsort((ids[c], -cosine))[:k]:
-                j = c[r]
-                rows.append((name, file, place, None if pd.isna(ids[j]) else int(ids[j]), float(cosine[r]), files[j], places[j]))
-        return pd.DataFrame(rows, columns=names).astype({"vec_id": "Int64"})
+            best = np.lexsort((ids[c], no_id[c], -cosine))[:k]
+            picked.append(c[best])
+            of.append(np.full(len(best), i))
+            scores.append(cosine[best])
+        j, i = np.concatenate(picked), np.concatenate(of)
+        name, file, place = (asked[c].to_numpy()[i] for c in ("vec_id", "file_key", "row_key"))
+        return pd.DataFrame(dict(zip(fields, (name, file, place, ids[j], no_id[j], np.concatenate(scores), files[j], places[j]))))
 
     by = ["dim", "segment", "part"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, out)
     # k rows for each segment at most meet in a query's window.
-    best = Window.partitionBy("query_file", "query_row", "query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "file_key", "row_key")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("query_file", "query_row", "query_id").orderBy(F.col("score").desc(), "no_id", "vec_id", "file_key", "row_key")
+    top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return top.select("query_id", "rank", F.when(~F.col("no_id"), F.col("vec_id")).alias("vec_id"), "score")
