@@ -9,22 +9,18 @@ host with few pages leans on its domain, a domain on everything. A page's own te
 
 from __future__ import annotations
 
-import functools
 import html
 import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, pick
-from .labelled import TEACHING_CHARS
+from .common import arrow_rows, cut, pick, release
 
-#: At most so many labelled documents of each language teach the text models.
+#: At most so many labelled documents of each language teach the text models, whole texts of any length.
 TEACHING_ROWS = 1_000
-#: Of a language that has only longer texts than TEACHING_CHARS, so many teach, whole.
-LONG_ROWS = 20
 TABLE = 1 << 14
 #: Trigrams overlap, so a text says as much as so many independent ones at most, at this share of their number.
 TEMPER, MOST_TRIGRAMS = 0.15, 400
@@ -37,14 +33,68 @@ NONE, OTHER = "none", "other"
 #: Country suffixes whose sites mostly use one language.
 SUFFIX_LANGUAGE = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
 
-_HIDDEN = re.compile(r"(?is)<(script|style|nav|noscript|template)\b.*?</\1\s*>|<!--.*?-->")
+_OPENING = re.compile(r"(?i)<(script|style|nav|noscript|template)\b|<!--")
+_CLOSING = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "nav", "noscript", "template")} | {"": re.compile("-->")}
 _TAG = re.compile(r"(?s)<[^>]*>")
-_DECLARED = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b|<meta\b[^>]*content-language[^>]*content\s*=\s*[\"']?([a-z]{2,3})\b")
+_HEAD_TAG = re.compile(r"(?i)<(html|meta)\b")
+_LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?([a-z]{2,3})\b")
+_META, _CONTENT = re.compile("(?i)content-language"), re.compile(r"(?i)content\s*=\s*[\"']?([a-z]{2,3})\b")
 _ADDRESS = re.compile(r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?(/[^?#]*)?")
 
 
+def _without_hidden(page: str) -> str:
+    """page with each hidden element, from its opening to the next closing, made a space; one that is never closed stays.
+
+    A closing that is not found once is not looked for again, so unclosed elements cost one search in all.
+    """
+    kept, at, gone = [], 0, set()
+    pos = 0
+    while m := _OPENING.search(page, pos):
+        name = (m[1] or "").lower()
+        end = None if name in gone else _CLOSING[name].search(page, m.end())
+        if end is None:
+            gone.add(name)
+            pos = m.start() + 1
+            continue
+        kept += [page[at : m.start()], " "]
+        at = pos = end.end()
+    return "".join(kept) + page[at:]
+
+
 def visible(page: str | None) -> str:
-    return html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page or "")))
+    """The text of a page: no hidden elements, no tags, entities decoded."""
+    line = _without_hidden(page or "")
+    last = line.rfind(">") + 1  # no tag ends beyond it
+    return html.unescape(_TAG.sub(" ", line[:last]) + line[last:])
+
+
+def declared(page: str | None) -> str:
+    """The language of the first html or meta tag that declares one, or NONE.
+
+    A tag reaches to the next >, which all tags opened before it share: if the first html tag before a > declares nothing,
+    no later one does, and so for meta tags. Each stretch is searched once.
+    """
+    page = page or ""
+    pos = 0
+    while m := _HEAD_TAG.search(page, pos):
+        end = page.find(">", m.start())
+        end = len(page) if end < 0 else end
+        first = {m[1].lower(): m.start()}
+        other = re.compile("(?i)<meta\\b" if "html" in first else "(?i)<html\\b").search(page, m.end(), end)
+        if other:
+            first["meta" if "html" in first else "html"] = other.start()
+        found = []
+        if "html" in first and (lang := _LANG.search(page, first["html"] + 5, end)):
+            found.append((first["html"], lang[1]))
+        if "meta" in first and (named := _META.search(page, first["meta"] + 5, end)):
+            for content in _CONTENT.finditer(page, named.end(), end):
+                last = content[1]
+            if _CONTENT.search(page, named.end(), end):
+                found.append((first["meta"], last))
+        if found:
+            return min(found)[1].lower()
+        pos = end
+    return NONE
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -86,29 +136,21 @@ def learn(rows: list[tuple[str, str]]) -> TextModel:
 
 
 def taught(docs: DataFrame) -> TextModel:
-    """From a bounded sample of documents (text, lang) of every language, the first of each by a hash of doc_id.
+    """From documents (text, lang) of every language, at most TEACHING_ROWS of each, the first by a hash of doc_id.
 
-    Texts of more than TEACHING_CHARS teach only where a language has no shorter ones, and then LONG_ROWS of them.
+    Rows without doc_id, lang or text teach nothing; a repeated row teaches once for each language it names. There is no
+    bound on languages or on the length of texts: only TABLE counts for each language come to the driver.
     """
     rows = pick(docs, doc_id="doc_id", text="text", lang="lang").where("doc_id is not null and lang is not null and text is not null")
-    short = F.length("text") <= TEACHING_CHARS
-    # One row for each language comes to the driver.
-    known = rows.groupBy("lang").agg(F.count_if(short).alias("n")).collect()
-    many = sorted(r["lang"] for r in known if r["n"] > TEACHING_ROWS)
-    few = [r["lang"] for r in known if 0 < r["n"] <= TEACHING_ROWS]
-    long = sorted(r["lang"] for r in known if not r["n"])
-    order = F.xxhash64("doc_id")
-    first = lambda lang, some, most: some.where(F.col("lang") == lang).select("doc_id", "lang").orderBy(order, "doc_id").limit(most)
-    parts = [first(lang, rows.where(short), TEACHING_ROWS) for lang in many] + [first(lang, rows, LONG_ROWS) for lang in long]
-    if few:
-        parts.append(rows.where(short & F.col("lang").isin(few)).select("doc_id", "lang"))
-    if not parts:
-        return learn([])
-    # At most TEACHING_ROWS rows a language.
-    some = cut(functools.reduce(DataFrame.union, parts).select(F.col("doc_id").alias("of_id"), F.col("lang").alias("of_lang")).distinct())
-    mine = (F.col("doc_id") == F.col("of_id")) & (F.col("lang") == F.col("of_lang"))
-    found = rows.where(short | F.col("lang").isin(long)).join(F.broadcast(some), mine).dropDuplicates(["doc_id", "lang"])
-    return _counted(cut(found.select("lang", "text")))
+    # The filter on the row number lets each partition pass on TEACHING_ROWS rows of a language and no more.
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = rows.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= TEACHING_ROWS)
+    some = cut(ids.select(F.col("doc_id").alias("of_id"), F.col("lang").alias("of_lang")))
+    found = cut(rows.join(some, (F.col("doc_id") == F.col("of_id")) & (F.col("lang") == F.col("of_lang"))).dropDuplicates(["doc_id", "lang"]).select("lang", "text"))
+    release(some)
+    model = _counted(found)
+    release(found)
+    return model
 
 
 def _counted(found: DataFrame) -> TextModel:
@@ -173,8 +215,7 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
         def work(columns):
             keys, urls, raw = columns
             where = [_address(u, langs) for u in urls]
-            found = [_DECLARED.search(h or "") for h in raw]
-            said = [(m[1] or m[2]).lower() if m else NONE for m in found]
+            said = [declared(h) for h in raw]
             logs = [held.log_likelihood(visible(h)) for h in raw]
             got = {"page_id": keys, "host": [w[0] for w in where], "domain": [w[1] for w in where], "address_lang": [w[2] for w in where]}
             got["declared_lang"] = [s if s in langs or s == NONE else OTHER for s in said]

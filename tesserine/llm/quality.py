@@ -1,28 +1,37 @@
 """Quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of about PASSAGE words; only the document has a label. Every passage is measured and
-encoded; a gated attention (tanh and sigmoid branches, multiplied) says how much each passage counts; the weighted sum of
-the encodings is scored. Encoder, attention and scorer are learned together from document labels.
+A document is a bag of passages of about PASSAGE words; only the document has a label. Every passage is measured, by the
+shape of its words and by which words they are (shares of BUCKETS hash buckets), and encoded; a gated attention (tanh and
+sigmoid branches, multiplied) says how much each passage counts; the weighted sum of the encodings is scored. Encoder,
+attention and scorer are learned together from document labels.
+
+All words of a text are read. A text of more than PASSAGE * MOST_PASSAGES words has longer passages instead of more, in
+teaching and in scoring alike, so that no bag has more than MOST_PASSAGES.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, pick
-from .labelled import remainder, teaching_rows
+from .common import arrow_rows, pick, release
+from .labelled import remainder, teaching_texts
 
-PASSAGE = 64
+PASSAGE, MOST_PASSAGES = 64, 64
+#: Measures of shape, and the hash buckets of words.
+SHAPES, BUCKETS = 15, 32
+WIDTH = SHAPES + BUCKETS
 #: At most so many labelled rows teach the model.
 TEACHING_ROWS = 8_000
 THRESHOLD = 0.3
 MODULUS, HELD_OUT = 5, 0
 HIDDEN, GATES, STEPS, RATE = 16, 8, 400, 0.02
-MEMO_WORDS = 150_000
+#: Words kept with their measures in a table, which starts anew when it is full, and the longest that are kept.
+MEMO_WORDS, MEMO_CHARS = 150_000, 64
 _MARKS = re.compile(r"[^\w\s]")
 
 
@@ -31,16 +40,21 @@ class Measures:
 
     def __init__(self):
         self.number: dict[str, int] = {}
-        self.rows: list[tuple[float, ...]] = []
+        self.used = 0
         self.table = np.zeros((1024, 10), np.float32)
+        self.bucket = np.zeros(1024, np.int64)
 
     def _add(self, word: str) -> int:
         n, marks = len(word), len(_MARKS.findall(word))
         letters = [c for c in word if c.isalpha()]
         upper = sum(c.isupper() for c in letters)
-        k = self.number[word] = len(self.number)
+        k, self.used = self.used, self.used + 1
+        if n <= MEMO_CHARS:
+            self.number[word] = k
         if k >= len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.bucket = np.concatenate([self.bucket, np.zeros_like(self.bucket)])
+        self.bucket[k] = zlib.crc32("".join(letters).lower().encode()) % BUCKETS
         self.table[k] = (
             min(n, 30) / 10,
             marks / n,
@@ -58,13 +72,15 @@ class Measures:
     def passages(self, text: str | None) -> np.ndarray:
         """One row of measures for each passage; a text without words is one passage of zeros."""
         words = (text or "").split()
-        if len(self.number) >= MEMO_WORDS:
+        if self.used >= MEMO_WORDS:
             self.number.clear()
+            self.used = 0
         if not words:
-            return np.zeros((1, 15), np.float32)
+            return np.zeros((1, WIDTH), np.float32)
         known, add = self.number.get, self._add
         ids = np.array([k if (k := known(w)) is not None else add(w) for w in words], np.int64)
-        starts = np.arange(0, max(1, len(ids) - PASSAGE // 4), PASSAGE)  # a short rest belongs to the last passage
+        size = max(PASSAGE, -(-len(ids) // MOST_PASSAGES))
+        starts = np.arange(0, max(1, len(ids) - size // 4), size)  # a short rest belongs to the last passage
         sizes = np.diff(np.r_[starts, len(ids)])
         means = np.add.reduceat(self.table[ids], starts, axis=0) / sizes[:, None]
         which = np.repeat(np.arange(len(starts)), sizes)
@@ -74,7 +90,8 @@ class Measures:
         new = np.r_[True, pairs[1:] != pairs[:-1]]
         different = np.bincount((pairs >> 32)[new], minlength=len(starts)) / sizes
         repeats = np.add.reduceat(again, starts) / sizes
-        return np.c_[means, different, repeats, repeats > 0.2, np.log(sizes) / 4, means[:, 1] > 0.25].astype(np.float32)
+        shares = np.bincount(which * BUCKETS + self.bucket[ids], minlength=len(starts) * BUCKETS).reshape(-1, BUCKETS) / sizes[:, None]
+        return np.c_[means, different, repeats, repeats > 0.2, np.log(sizes) / 4, means[:, 1] > 0.25, shares].astype(np.float32)
 
 
 def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -92,13 +109,16 @@ class Attention:
         self.mean, self.spread = mean, spread
         self.p = {"E": r.normal(0, 0.4, (d, HIDDEN)), "e": np.zeros(HIDDEN), "V": r.normal(0, 0.3, (HIDDEN, GATES)), "U": r.normal(0, 0.3, (HIDDEN, GATES)), "w": r.normal(0, 0.3, GATES), "c": r.normal(0, 0.3, HIDDEN), "b": np.zeros(1)}
 
-    def forward(self, x: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.spread, -6, 6)
+
+    def forward(self, s: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
+        """All that the bags of scaled passages, which begin at starts, give rise to; y are their scores."""
         p = self.p
-        s = np.clip((x - self.mean) / self.spread, -6, 6)
         h = np.tanh(s @ p["E"] + p["e"])
         t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
         raw = (t * g) @ p["w"]
-        sizes = np.diff(np.r_[starts, len(x)])
+        sizes = np.diff(np.r_[starts, len(s)])
         raw = np.exp(raw - np.repeat(np.maximum.reduceat(raw, starts), sizes))
         a = raw / np.repeat(_sums(raw, starts), sizes)
         z = _sums(h * a[:, None], starts)
@@ -118,23 +138,31 @@ class Attention:
         dpre = dh * (1 - f["h"] ** 2)
         return {"E": f["s"].T @ dpre, "e": dpre.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ draw, "c": f["z"].T @ d, "b": np.array([d.sum()])}
 
-    def score(self, passages: np.ndarray) -> float:
-        return float(self.forward(passages, np.zeros(1, np.int64))["y"][0])
+    def scores(self, bags: list[np.ndarray]) -> list[float]:
+        if not bags:
+            return []
+        starts = np.r_[0, np.cumsum([len(b) for b in bags])[:-1]].astype(np.int64)
+        return self.forward(self.scaled(np.concatenate(bags).astype(float)), starts)["y"].tolist()
 
 
 def learn(rows: list[tuple[str, int]]) -> Attention:
-    """The model from labelled texts, by Adam over all of them; without both labels every score is their share, or 0.5."""
+    """The model from labelled texts, measured here."""
     measures = Measures()
-    bags = [measures.passages(t) for t, _ in rows]
-    label = np.array([y for _, y in rows], float)
+    return _fitted([measures.passages(t) for t, _ in rows], [y for _, y in rows])
+
+
+def _fitted(bags: list[np.ndarray], labels: list[int]) -> Attention:
+    """The model from bags, by Adam over all of them; without both labels every score is their share, or 0.5."""
+    label = np.array([float(y > 0) for y in labels])
     if len(set(label.tolist())) < 2:
-        model = Attention(np.zeros(15), np.ones(15))
+        model = Attention(np.zeros(WIDTH), np.ones(WIDTH))
         model.p["c"][:] = 0
         model.p["b"][:] = 0 if not len(label) else (3.0 if label[0] else -3.0)
         return model
     x = np.concatenate(bags).astype(float)
     starts = np.r_[0, np.cumsum([len(b) for b in bags])[:-1]]
     model = Attention(x.mean(0), x.std(0) + 1e-3)
+    x = model.scaled(x)
     m = {k: np.zeros_like(v) for k, v in model.p.items()}
     v = {k: np.zeros_like(v) for k, v in model.p.items()}
     for step in range(1, STEPS + 1):
@@ -148,7 +176,25 @@ def learn(rows: list[tuple[str, int]]) -> Attention:
 
 
 def taught(docs: DataFrame, labels: DataFrame) -> Attention:
-    return learn(teaching_rows(docs, labels, "quality", MODULUS, HELD_OUT, TEACHING_ROWS))
+    """learn() of at most TEACHING_ROWS labelled rows, whole texts of any length, null ones left out.
+
+    Passages are measured where the texts are; the driver gets WIDTH single-precision numbers for each, and a document has
+    at most MOST_PASSAGES: 96 MB if every teaching document were that long.
+    """
+    rows = teaching_texts(docs, labels, "quality", MODULUS, HELD_OUT, TEACHING_ROWS)
+
+    def make():
+        measures = Measures()
+
+        def work(columns):
+            bags = [measures.passages(t).astype("<f4") for t in columns[1]]
+            return {"doc_id": columns[0], "label": columns[2], "bag": [b.tobytes() for b in bags]}
+
+        return work
+
+    got = arrow_rows(rows.select("doc_id", "text", "label"), "doc_id long, label int, bag binary", make).toArrow().sort_by("doc_id")
+    release(rows)
+    return _fitted([np.frombuffer(x.as_buffer(), "<f4").reshape(-1, WIDTH) for x in got["bag"]], got["label"].to_pylist())
 
 
 def quality(docs: DataFrame, model: Attention, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,9 +209,7 @@ def quality(docs: DataFrame, model: Attention, id_col: str = "doc_id", text_col:
         held, measures = shared.value, Measures()
 
         def work(columns):
-            bags = [measures.passages(t) for t in columns[2]]
-            starts = np.r_[0, np.cumsum([len(b) for b in bags])[:-1]].astype(np.int64)
-            scores = held.forward(np.concatenate(bags).astype(float), starts)["y"].tolist() if bags else []
+            scores = held.scores([measures.passages(t) for t in columns[2]])
             return {"doc_id": columns[0], "held_out": columns[1], "score": scores, "predicted": [int(s >= THRESHOLD) for s in scores]}
 
         return work

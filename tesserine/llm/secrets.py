@@ -9,6 +9,7 @@ Trigrams are taken from lower-cased text, so a query never misses a match in eit
 from __future__ import annotations
 
 import re._parser as parser
+from collections.abc import Callable
 from dataclasses import dataclass
 from re._constants import BRANCH, IN, LITERAL, MAX_REPEAT, MIN_REPEAT, RANGE, SUBPATTERN
 
@@ -36,7 +37,8 @@ RULES = (
     Rule("hex", r"[0-9a-f]{24,}", 24),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, base=False),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}", 40, base=False),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 1, base=False),
+    # The first part is bounded: without that every eyJ of a run would be read to the run's end.
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{1,997}\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 1, base=False),
 )
 
 Sets = frozenset  # alternatives: a frozenset of frozensets of trigrams; one that holds an empty set says nothing
@@ -98,21 +100,42 @@ def trigram_query(pattern: str) -> Sets:
     return query if exact is None else _of_strings(exact)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once, also inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _fold(items: Column, start: Column, chunk: Callable[[Column, Column], Column]) -> Column:
+    """A fold over an array by chunks of about the square root of its length: chunk(state, some items) is the next state.
+
+    What a state gathers is copied at every step; so n items cost n * sqrt(n) copies and not n * n.
+    """
+    def over(xs: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(xs))).cast("int"))
+        return _let(width, lambda w: F.aggregate(F.sequence(F.lit(0), F.ceil(F.size(xs) / w).cast("int")), start, lambda s, k: _let(F.slice(xs, k * w + 1, w), lambda some: F.when(F.size(some) > 0, chunk(s, some)).otherwise(s))))
+
+    return _let(items, over)
+
+
 def _spans(text: Column, rule: Rule) -> Column:
-    """array<struct<start, last, end>> of the matches that count, leftmost first, without overlap; code points, end exclusive.
+    """array<struct<start, end, n>> of the matches that count, leftmost first, without overlap; code points, end exclusive.
 
     What stands between matches gives their places: split() keeps the gaps, and gaps and matches alternate.
     """
     gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    sizes = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,n:int>>").alias("out"))
+    found = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.length)
+    sizes = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length) if rule.group else found
+    none = F.array().cast("array<struct<start:int,end:int,n:int>>")
     parts = F.arrays_zip(gaps.alias("gap"), found.alias("hit"), sizes.alias("part"))
+    span = lambda at, x: F.array(F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["hit"]).alias("end"), x["part"].alias("n")))
     step = lambda s, x: F.struct(
-        (s["at"] + x["gap"] + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
-        F.when(x["hit"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + F.length(x["hit"])).alias("end"), F.length(x["part"]).alias("n"))))).alias("out"),
+        (s["at"] + x["gap"] + F.coalesce(x["hit"], F.lit(0))).alias("at"),
+        F.when(F.coalesce(x["part"] >= rule.least, F.lit(False)), F.concat(s["out"], span(s["at"], x))).otherwise(s["out"]).alias("out"),
     )
-    return F.filter(F.aggregate(parts, start, step)["out"], lambda x: x["n"] >= rule.least)
+    within = lambda s, some: F.aggregate(some, F.struct(s["at"].alias("at"), none.alias("out")), step)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,n:int>>>").alias("outs"))
+    chunk = lambda s, some: _let(within(s, some), lambda r: F.struct(r["at"].alias("at"), F.concat(s["outs"], F.array(r["out"])).alias("outs")))
+    return F.flatten(_fold(parts, start, chunk)["outs"])
 
 
 def _of_kind(spans: Column, kind: int) -> Column:
@@ -177,13 +200,24 @@ def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_ch
     rows = scan(docs, text_col, rules)
     at, text = column_of(docs, text_col), F.col(column_of(docs, text_col))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda s, x: (
-        F.when(x["end"] <= s["at"], s)
-        .when((x["start"] < s["at"]) | ((x["start"] == s["at"]) & (s["at"] > 0)), F.struct(x["end"].alias("at"), s["out"].alias("out")))
-        .otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit("<SECRET>")).alias("out")))
-    )
-    walked = F.aggregate("spans", start, step)
-    new = F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.length(text)))
+
+    def chunk(s: Column, some: Column) -> Column:
+        """The next spans, cut out of the stretch of text that they reach over and not of the text from its beginning."""
+        base = s["at"]
+        end = F.greatest(base, F.array_max(F.transform(some, lambda x: x["end"])))
+
+        def within(stretch: Column) -> Column:
+            step = lambda r, x: (
+                F.when(x["end"] <= r["at"], r)
+                .when((x["start"] < r["at"]) | ((x["start"] == r["at"]) & (r["at"] > 0)), F.struct(x["end"].alias("at"), r["out"].alias("out")))
+                .otherwise(F.struct(x["end"].alias("at"), F.concat(r["out"], F.substring(stretch, r["at"] - base + 1, x["start"] - r["at"]), F.lit("<SECRET>")).alias("out")))
+            )
+            return F.aggregate(some, F.struct(base.alias("at"), F.lit("").alias("out")), step)
+
+        return _let(F.substring(text, base + 1, end - base), lambda x: _let(within(x), lambda r: F.struct(r["at"].alias("at"), F.concat(s["out"], r["out"]).alias("out"))))
+
+    walked = _fold(F.col("spans"), start, chunk)
+    new = _let(walked, lambda w: F.concat(w["out"], F.substring(text, w["at"] + 1, F.length(text))))
     out = rows.withColumn(at, F.when(F.size("spans") > 0, new).otherwise(text))
     if size_col in docs.columns:
         n = column_of(docs, size_col)

@@ -12,17 +12,20 @@ use far more often than others.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 from itertools import product
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, column_of, cut, pick, with_row_key
-from .labelled import remainder, teaching_rows
+from .common import arrow_rows, column_of, cut, pick, release, with_row_key, without_rows
+from .labelled import remainder, teaching_texts
 
 #: At most so many labelled rows teach the lexicon and the event weights.
 TEACHING_ROWS = 12_000
@@ -33,7 +36,10 @@ LEAST_DOCUMENTS, LEAST_WEIGHT = 4, 1.5
 #: Lower bounds of the insult tiers A to E, in log odds.
 TIERS = (1.5, 2.5, 3.5, 4.5, 5.5)
 BEGINNINGS = (4, 5, 6, 7)
-MEMO_WORDS = 200_000
+#: Words kept with their class, and the longest that are kept.
+MEMO_WORDS, MEMO_CHARS = 200_000, 48
+#: A task hands on its counts of words when it holds so many.
+COUNTED_WORDS = 200_000
 #: White space that ends no line.
 BLANKS = "\t\x1f \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
@@ -114,7 +120,7 @@ def compose(machines: dict[str, Transducer]) -> tuple[np.ndarray, np.ndarray, li
 _NEXT, _OUT, EVENTS = compose(MACHINES)
 _LETTER = {c: i for i, c in enumerate(CLASSES)}
 _TO, _SAYS = _NEXT.tolist(), _OUT.tolist()
-_HIT = re.compile(f"[^.]*[{_INSULT}{THREAT}][^.]*")
+_HIT = re.compile(f"[{_INSULT}{THREAT}]")
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -142,9 +148,10 @@ class Grammar:
         got = _INSULT[tier - 1] if tier else self.fixed.get(bare, OTHER) if bare else ""
         if word[-1] in ".!?;:\x00":
             got += STOP
-        if len(self.memo) >= MEMO_WORDS:
-            self.memo.clear()
-        self.memo[word] = got
+        if len(word) <= MEMO_CHARS:
+            if len(self.memo) >= MEMO_WORDS:
+                self.memo.clear()
+            self.memo[word] = got
         return got
 
     def events(self, text: str) -> np.ndarray:
@@ -152,7 +159,9 @@ class Grammar:
         known, letters = self.memo.get, self.letters
         line = "".join([x if (x := known(w)) is not None else letters(w) for w in " \x00 ".join(text.lower().splitlines()).split()])
         counts = np.zeros(len(EVENTS))
-        for clause in _HIT.findall(line):
+        for clause in line.split(STOP):
+            if not _HIT.search(clause):
+                continue
             state = 0
             for c in clause:
                 k = _LETTER[c]
@@ -175,27 +184,35 @@ def _types(text: str) -> set[str]:
     return {b for w in set(text.lower().split()) if (b := _EDGE.sub("", w))}
 
 
-def learn_lexicon(rows: list[tuple[str, int]]) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and beginnings with the log odds ratio of their document frequencies; the fixed insults always have 3 at least."""
-    toxic = [t for t, y in rows if y]
-    n, m = len(toxic), len(rows) - len(toxic)
-    words: dict[str, float] = {w: 3.0 for w in INSULTS}
-    beginnings: dict[str, float] = {}
-    if not n or not m:
-        return words, beginnings
-    parts = lambda ws: {w[:k] for w in ws for k in BEGINNINGS if len(w) >= k}
-    for kind, table in ((lambda ws: ws, words), (parts, beginnings)):
-        have = Counter(x for t in toxic for x in kind(_types(t)))
-        have = {x: k for x, k in have.items() if k >= LEAST_DOCUMENTS}
-        other: Counter = Counter()
-        for t, y in rows:
-            if not y:
-                other.update(x for x in kind(_types(t)) if x in have)
-        for x, k in have.items():
-            w = math.log((k + 0.5) / (n + 1)) - math.log((other[x] + 0.5) / (m + 1))
-            if w >= LEAST_WEIGHT:
-                table[x] = max(table.get(x, 0.0), w)
-    return words, beginnings
+def _parts(words: set[str]) -> set[str]:
+    return {w[:k] for w in words for k in BEGINNINGS if len(w) >= k}
+
+
+Lexicon = tuple[dict[str, float], dict[str, float]]
+
+
+def _lexicon(counts: Iterable[tuple[int, str, int, int]], n: int, m: int) -> Lexicon:
+    """Words and beginnings with the log odds ratio of their document frequencies, of (kind, word, toxic, other documents).
+
+    kind: 0 a word, 1 a beginning; n toxic documents and m others in all. The fixed insults always have 3 at least.
+    """
+    tables: Lexicon = ({w: 3.0 for w in INSULTS}, {})
+    if n and m:
+        for kind, x, k, o in counts:
+            w = math.log((k + 0.5) / (n + 1)) - math.log((o + 0.5) / (m + 1))
+            if k >= LEAST_DOCUMENTS and w >= LEAST_WEIGHT:
+                tables[kind][x] = max(tables[kind].get(x, 0.0), w)
+    return tables
+
+
+def learn_lexicon(rows: list[tuple[str, int]]) -> Lexicon:
+    """The lexicon of (text, label), counted here."""
+    have: tuple[Counter, Counter] = Counter(), Counter()
+    for t, y in rows:
+        words = _types(t)
+        have[int(bool(y))].update([(0, w) for w in words] + [(1, w) for w in _parts(words)])
+    n = sum(bool(y) for _, y in rows)
+    return _lexicon([(kind, x, k, have[0][kind, x]) for (kind, x), k in have[1].items()], n, len(rows) - n)
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -212,23 +229,89 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
-def learn(rows: list[tuple[str, int]]) -> Grammar:
-    """A grammar from labelled texts. Event weights are fitted on halves that the lexicon of the other half classifies."""
-    grammar = Grammar(*learn_lexicon(rows))
-    if len({y for _, y in rows}) < 2:
-        grammar.weights = np.array([(1.0 + "ABCDE".find(e[0])) * (0.3 if e[2] or e[3] else 1.0) * (1.5 if e[1] else 1.0) if e[0] in _INSULT + THREAT else 0.5 for e in EVENTS] + [0.0, 0.0])
-        return grammar
-    x, y = [], []
-    for k in (0, 1):
-        other = Grammar(*learn_lexicon(rows[1 - k :: 2]))
-        x += [other.features(t) for t, _ in rows[k::2]]
-        y += [l for _, l in rows[k::2]]
-    grammar.weights, grammar.bias = _fit(np.array(x), np.array(y, float))
+def _unfitted(lexicon: Lexicon) -> Grammar:
+    """Fixed weights, for want of labels of both kinds."""
+    grammar = Grammar(*lexicon)
+    grammar.weights = np.array([(1.0 + "ABCDE".find(e[0])) * (0.3 if e[2] or e[3] else 1.0) * (1.5 if e[1] else 1.0) if e[0] in _INSULT + THREAT else 0.5 for e in EVENTS] + [0.0, 0.0])
     return grammar
 
 
+def learn(rows: list[tuple[str, int, int]]) -> Grammar:
+    """A grammar from (text, label, half). Event weights are fitted on halves that the lexicon of the other half classifies."""
+    lexicon = learn_lexicon([r[:2] for r in rows])
+    if len({y for _, y, _ in rows}) < 2:
+        return _unfitted(lexicon)
+    others = [Grammar(*learn_lexicon([(t, y) for t, y, h in rows if h != k])) for k in (0, 1)]
+    grammar = Grammar(*lexicon)
+    grammar.weights, grammar.bias = _fit(np.array([others[h].features(t) for t, _, h in rows]), np.array([y for _, y, _ in rows], float))
+    return grammar
+
+
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """(kind, word, t0, t1, o0, o1): toxic and other documents of either half that have it; counted in the tasks first."""
+
+    def count(batches):
+        held: Counter = Counter()
+
+        def out():
+            keys = list(held)
+            got = pa.RecordBatch.from_pydict({"kind": [k[0] for k in keys], "word": [k[1] for k in keys], "class": [k[2] for k in keys], "n": [held[k] for k in keys]}, schema=schema)
+            held.clear()
+            return got
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                text, label, half = (c[at].as_py() for c in batch.columns)
+                words, of = _types(text), 2 * (not label) + half
+                held.update([(0, w, of) for w in words])
+                held.update([(1, w, of) for w in _parts(words)])
+                if len(held) >= COUNTED_WORDS:
+                    yield out()
+        yield out()
+
+    schema = pa.schema([("kind", pa.int32()), ("word", pa.string()), ("class", pa.int32()), ("n", pa.int64())])
+    counted = rows.select("text", "label", "half").mapInArrow(count, "kind int, word string, class int, n long")
+    sums = [F.sum(F.when(F.col("class") == k, F.col("n")).otherwise(0)).alias(name) for k, name in enumerate(("t0", "t1", "o0", "o1"))]
+    return counted.groupBy("kind", "word").agg(*sums)
+
+
 def taught(docs: DataFrame, labels: DataFrame) -> Grammar:
-    return learn(teaching_rows(docs, labels, "toxic", MODULUS, HELD_OUT, TEACHING_ROWS))
+    """learn() of at most TEACHING_ROWS labelled rows, whole texts of any length, null ones left out.
+
+    Words are counted, and texts measured, where they are. The driver gets the entries of the lexicon and
+    len(EVENTS) + 2 numbers for each teaching row.
+    """
+    rows = teaching_texts(docs, labels, "toxic", MODULUS, HELD_OUT, TEACHING_ROWS)
+    size = {(r["label"] > 0, r["half"]): r["count"] for r in rows.groupBy("label", "half").count().collect()}
+    n, m = ([size.get((y, h), 0) for h in (0, 1)] for y in (True, False))
+    # of three lexicons: that of each half, and of all
+    of = lambda k: [F.col(f"{k}0"), F.col(f"{k}1"), F.col(f"{k}0") + F.col(f"{k}1")]
+    total = lambda x: [*x, sum(x)]
+    weigh = lambda t, o, a, b: (t >= LEAST_DOCUMENTS) & (F.log((t + 0.5) / (a + 1)) - F.log((o + 0.5) / (b + 1)) >= LEAST_WEIGHT - 1e-9)
+    enters = functools.reduce(Column.__or__, [weigh(*x) for x in zip(of("t"), of("o"), total(n), total(m))])
+    found = [tuple(r) for r in _word_counts(rows).where(enters).collect()]
+    lexicon = _lexicon([(kind, x, t0 + t1, o0 + o1) for kind, x, t0, t1, o0, o1 in found], sum(n), sum(m))
+    if not sum(n) or not sum(m):
+        release(rows)
+        return _unfitted(lexicon)
+    halves = [_lexicon([(r[0], r[1], r[2 + h], r[4 + h]) for r in found], n[h], m[h]) for h in (0, 1)]
+    shared = docs.sparkSession.sparkContext.broadcast([Grammar(*halves[1]), Grammar(*halves[0])])
+    width = len(EVENTS) + 2
+
+    def make():
+        others = shared.value
+
+        def work(columns):
+            x = np.array([others[h].features(t) for t, h in zip(columns[1], columns[3])])
+            return {"doc_id": columns[0], "label": columns[2]} | {f"f{k}": x[:, k] for k in range(width)}
+
+        return work
+
+    got = arrow_rows(rows.select("doc_id", "text", "label", "half"), "doc_id long, label int, " + ", ".join(f"f{k} double" for k in range(width)), make).toArrow().sort_by("doc_id")
+    grammar = Grammar(*lexicon)
+    grammar.weights, grammar.bias = _fit(np.column_stack([got[f"f{k}"].to_numpy() for k in range(width)]), (got["label"].to_numpy() > 0).astype(float))
+    release(rows)
+    return grammar
 
 
 def toxicity(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,8 +335,13 @@ def toxicity(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text scores 0.3 or more; all columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(taught(docs, labels))
+    """docs without the rows whose text scores 0.3 or more; all columns stay.
+
+    Any frame will do, also one of a join, a union or a generator: its rows are numbered once.
+    """
+    keyed = with_row_key(docs)
+    own = keyed.select(F.col(column_of(docs, "doc_id")).alias("doc_id"), F.col(column_of(docs, text_col)).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(taught(own, labels))
 
     def make():
         g = shared.value
@@ -264,7 +352,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Da
 
         return work
 
-    keyed = with_row_key(docs)
     gone = cut(arrow_rows(keyed.select("file_key", "row_key", column_of(docs, text_col)), "gone_file long, gone_row long", make))
-    left = keyed.join(gone, (F.col("file_key") == F.col("gone_file")) & (F.col("row_key") == F.col("gone_row")), "left_anti")
-    return left.drop("file_key", "row_key").toDF(*docs.columns)
+    return without_rows(keyed, gone, docs.columns)
