@@ -1,4 +1,4 @@
-"""Byte-level BPE: ids for packing by the installed library, and the per-prefix dynamic programme of its own.
+"""Byte-level BPE: ids by the tokenizers library for packing, and an encoder of its own by per-prefix dynamic programming.
 
 Prefix programme. For every prefix of a pre-token's bytes exactly one token can end the prefix's BPE encoding. An
 automaton over the vocabulary lists, for each position, the tokens that end there, longest first; a token is the last
@@ -14,6 +14,7 @@ import re
 import struct
 
 import ahocorasick
+import numpy as np
 import tokenizers
 
 #: Words kept with their ids in each of two generations; when the young one is full, it replaces the old one.
@@ -185,6 +186,73 @@ class Unsafe(Exception):
     """A word that starts with white space: the text is not cut at spaces."""
 
 
+class LibraryEncoder:
+    """Ids as the tokenizers library gives them, each word between single spaces asked for once as long as it is kept.
+
+    A pre-token of a byte-level vocabulary holds a space only at its start or in a run of white space, so a text may be
+    cut before every space that touches no other white space. Words that are not known yet are encoded together, and their
+    ids fall apart at the tokens that begin with a space. Texts with other runs of white space, or with the strings of
+    special tokens, go to the library as a whole.
+    """
+
+    def __init__(self, path: str):
+        self.library = tokenizers.Tokenizer.from_file(path)
+        self.library.no_truncation(), self.library.no_padding()
+        self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
+        space = next(c for c, b in byte_symbols().items() if b == 32)
+        for token, i in vocab.items():
+            self.spaced[i] = token.startswith(space)
+        self.words: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        ids = np.array(self.library.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) != len(new):
+            return dict(zip(new, self._ids([" " + w for w in new])))
+        raw, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
+        return {w: raw[a:b] for w, a, b in zip(new, (4 * starts).tolist(), ends)}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        get, out = self.words.get, [b""] * len(texts)
+        cut: list[tuple[int, str, list[str], list[bytes | None]]] = []
+        whole, new = [], {}
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            head, space, rest = text.partition(" ")
+            words = rest.split(" ") if space else []
+            if any(not w or w[0].isspace() for w in words) or any(x in text for x in self.special):
+                whole.append(i)
+                continue
+            got = list(map(get, words))
+            cut.append((i, head, words, got))
+            if None in got:
+                new.update((w, b"") for w, x in zip(words, got) if x is None)
+        short = [w for w in new if len(w) <= MEMO_CHARS]
+        known = self._learn(short) if short else {}
+        long = [w for w in new if len(w) > MEMO_CHARS]
+        new = known | dict(zip(long, self._ids([" " + w for w in long]) if long else []))
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole]) if whole else []):
+            out[i] = ids
+        for (i, _, words, got), head in zip(cut, self._ids([x[1] for x in cut]) if cut else []):
+            out[i] = head + b"".join([new[w] if x is None else x for w, x in zip(words, got)] if None in got else got)
+        if len(self.words) + len(known) > MEMO_WORDS:
+            self.words.clear()
+        self.words |= known
+        return out
+
+
+@functools.cache
+def library(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
+
+
 @functools.cache
 def encoder(path: str) -> PrefixEncoder:
     return PrefixEncoder(path)

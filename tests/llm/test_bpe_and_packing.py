@@ -1,6 +1,5 @@
 import hashlib
 import random
-import re
 import struct
 import zlib
 from collections import defaultdict
@@ -10,7 +9,7 @@ import tokenizers
 
 from tesserine.llm import bpe, packing
 from tesserine.llm.queries import QUERIES, TOKENIZER
-from tesserine.llm.tokens import encoder
+from tesserine.llm.tokens import LibraryEncoder, encoder
 
 from .conftest import edge_rows
 
@@ -70,12 +69,13 @@ def test_bpe_query_round_trip(spark, sf, library):
 
 
 def test_packing_ids_are_those_of_the_library(library):
-    ids_of, r = packing._ids_of(TOKENIZER), random.Random(4)
-    common = [chr(c) for c in range(0x2100) if re.match(f"[{packing._COMMON}]", chr(c))]
-    texts = ["".join(r.choice(common) if r.random() < 0.5 else r.choice(" \n\t'sdtrellm09a.,!  ") for _ in range(r.randint(1, 25))) for _ in range(5000)]
-    texts += [x for c in common for x in (c, "a" + c, c + "1", f" {c} {c}", f". {c}")] + ["a<|endoftext|>b", "漢字 \x1c\x85", "\u3000 x"]
-    for t in texts:
-        assert ids_of(t) == library.encode(t, add_special_tokens=False).ids, t
+    own, r = LibraryEncoder(TOKENIZER), random.Random(4)
+    parts = list("abc ABC  \n\t\r\x0b\x1c\x1f\x85\xa0.,!'sdtre0129é漢字ßüकि​　😀") + ["<|endoftext|>", "'s", " the", "\n ", " \n", "ing", "tion", " word", " token.", "x" * 60]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 30))) for _ in range(6000)]
+    texts += [" ".join(r.choices(["alpha", "beta.", "gamma\n", "dé", "9", "<|endoftext|>"], k=r.randint(1, 12))) for _ in range(2000)]
+    for at in range(0, len(texts), 256):
+        for t, ids in zip(texts[at : at + 256], own.encode(texts[at : at + 256])):
+            assert ids == packed(library.encode(t, add_special_tokens=False).ids), t
 
 
 def assert_packed(rows, texts, library):
@@ -102,7 +102,8 @@ def assert_packed(rows, texts, library):
 
 
 def test_packing_on_edges(edge_docs, empty_docs, library):
-    assert_packed(packing.pack(edge_docs, TOKENIZER).collect(), [r[:2] for r in edge_rows()], library)
+    for range_rows in (8, packing.RANGE):
+        assert_packed(packing.pack(edge_docs, TOKENIZER, range_rows=range_rows).collect(), [r[:2] for r in edge_rows()], library)
     assert packing.pack(empty_docs, TOKENIZER).count() == 0
 
 
@@ -112,28 +113,56 @@ def test_packing_query_is_close_to_the_least(spark, sf, library):
     assert n <= 1.01 * -(-sum(r["length"] for r in rows) // 2048)
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_best_fit_plan_places_every_rank_once(seed):
+def serial_superstep(items, gaps, largest):
+    """Sizes by item and gaps by sequence to the gap value that each item takes, by one sweep over everything."""
+    slots = [(-(g // max(1, g // largest)), False, s, k) for s, g in gaps.items() for k in range(max(1, g // largest))]
+    stack, took = [], {}
+    for value, is_item, key, _ in sorted(slots + [(-n, True, i, 0) for i, n in items.items()]):
+        if not is_item:
+            stack.append(-value)
+        elif stack:
+            took[key] = stack.pop()
+    return took
+
+
+@pytest.mark.parametrize(("seed", "range_rows"), [(0, 7), (1, 25), (2, 1 << 16)])
+def test_supersteps_are_one_sweep_however_many_ranges(spark, seed, range_rows):
     r = random.Random(seed)
-    counts = {s: r.randint(1, 40) for s in r.sample(range(1, 101), 30)}
-    used, seen = defaultdict(list), defaultdict(set)
-    for size, rank, n, first, each, offset in packing.best_fit(counts, 100).tolist():
-        for i in range(n):
-            used[first + i // each].append((offset + i % each * size, size))
-            seen[size].add(rank + i)
-    assert all(seen[s] == set(range(n)) for s, n in counts.items())
+    items = {i: r.choice([r.randint(1, 100), 50, 20]) for i in range(150)}
+    gaps = {s: r.choice([r.randint(1, 100), 100, 60]) for s in range(60)}
+    largest = r.choice([max(items.values()), 100])
+    df = spark.createDataFrame(list(items.items()), "item long, size long")
+    got = packing.superstep(df, spark.createDataFrame(list(gaps.items()), "sequence_id long, gap long"), largest, 210, range_rows).collect()
+    assert sorted(x["item"] for x in got) == sorted(items) and all(x["size"] == items[x["item"]] for x in got)
+    met = [x for x in got if x["sequence_id"] is not None]
+    assert len({(x["sequence_id"], x["slot"]) for x in met}) == len(met) and all(x["gap"] == gaps[x["sequence_id"]] for x in met)
+    want = serial_superstep(items, gaps, largest)
+    assert {x["item"]: x["gap"] // max(1, x["gap"] // largest) for x in met} == want
+
+
+def test_ranges_left_over_match_by_rank():
+    # parts from the largest sizes down: (part, items, gaps) left over
+    assert packing.across([(0, 0, 3), (1, 2, 1), (2, 4, 0), (3, 0, 2)]) == [(1, 0, 2, 0, 0), (2, 0, 1, 1, 0), (2, 1, 1, 0, 1)]
+
+
+@pytest.mark.parametrize(("seed", "range_rows"), [(0, 9), (1, 1 << 16)])
+def test_best_fit_places_every_item_once(spark, seed, range_rows):
+    r = random.Random(seed)
+    items = [(i, r.choice([r.randint(1, 100), r.randint(1, 20), 100, 34])) for i in range(200)]
+    got = packing.best_fit(spark.createDataFrame(items, "item long, size long"), 100, range_rows).collect()
+    sizes, used = dict(items), defaultdict(list)
+    assert sorted(x["item"] for x in got) == sorted(sizes)
+    for x in got:
+        used[x["sequence_id"]].append((x["offset"], sizes[x["item"]]))
     for held in used.values():
         at = 0
-        for offset, size in sorted(held):
+        for offset, n in sorted(held):
             assert offset == at
-            at += size
+            at += n
         assert at <= 100
-    # as few sequences as one piece at a time, largest first, into the fullest that has room
+    # as one item at a time, largest first, into the fullest that has room; a few sequences more at most
     gaps = []
-    for size in sorted((s for s, n in counts.items() for _ in range(n)), reverse=True):
-        fit = min((g for g in gaps if g >= size), default=None)
-        if fit is None:
-            gaps.append(100 - size)
-        else:
-            gaps[gaps.index(fit)] -= size
-    assert len(used) == len(gaps)
+    for n in sorted(sizes.values(), reverse=True):
+        fit = min((g for g in gaps if g >= n), default=None)
+        gaps.append(100 - n) if fit is None else gaps.__setitem__(gaps.index(fit), fit - n)
+    assert len(used) <= 1.03 * len(gaps) + 1
