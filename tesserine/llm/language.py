@@ -250,8 +250,7 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
     domains = hosts.groupBy(F.col("domain").alias("of_domain")).agg(*[F.sum(f"s{i}").alias(f"d{i}") for i in range(n)], F.sum("n_host").alias("n_domain"))
     priors = hosts.join(domains, F.col("domain") == F.col("of_domain")).select(F.col("host").alias("of_host"), F.col("domain").alias("with_domain"), *[f"s{i}" for i in range(n)], *[f"d{i}" for i in range(n)], "n_host", "n_domain")
     met = read.join(cut(priors), (F.col("host") == F.col("of_host")) & (F.col("domain") == F.col("with_domain")))
-    declared, address = worth("declared_lang"), worth("address_lang")
-    met = met.withColumns({"w_declared": declared, "w_address": address})
+    met = met.withColumns({"w_declared": worth("declared_lang"), "w_address": worth("address_lang")})
     scores = []
     for i in range(n):
         # without the page itself
