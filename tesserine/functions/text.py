@@ -9,7 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from ..config import DEFAULT
 
@@ -129,6 +129,19 @@ def remove_nested(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _without_spans(_without_spans(t, _MEDIA, _LINK_TOKENS, "]]"), _TEMPLATE, _TEMPLATE_TOKENS, "}}"), na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def remove_nested_each(texts: pd.Series) -> pd.Series:
+    """remove_nested() of every element."""
+    one = lambda t: t and _without_spans(_without_spans(t, _MEDIA, _LINK_TOKENS, "]]"), _TEMPLATE, _TEMPLATE_TOKENS, "}}")
+    return texts.map(lambda ts: [one(t) for t in ts], na_action="ignore")
+
+
+def drop_spans_each(cs: Column) -> Column:
+    """drop_spans() of every element of an array, which goes to Python only if some element holds an opening token."""
+    opens = F.exists(cs, lambda x: F.contains(x, F.lit("[[")) | F.contains(x, F.lit("{{")))
+    return F.coalesce(remove_nested_each(F.when(opens, cs)), cs)
+
+
 def drop_spans(c: Column) -> Column:
     """remove_nested(), with only the texts that hold an opening token going to Python."""
     return F.coalesce(remove_nested(F.when(F.contains(c, F.lit("[[")) | F.contains(c, F.lit("{{")), c)), c)
@@ -137,11 +150,13 @@ def drop_spans(c: Column) -> Column:
 def unwrap_links(c: Column) -> Column:
     """[[target|display]] to display, [[target]] and [[target|]] to target, the innermost first, until nothing changes.
 
-    Every pass that changes something takes away one opening pair at least, so as many passes as there are pairs suffice.
+    A pass unwraps all innermost links at once, so the passes are as many as links nest, and one that changes nothing.
     """
     pairs = ((F.length(c) - F.length(F.replace(c, F.lit("[["), F.lit("")))) / 2).cast("int")
     one = lambda t: F.regexp_replace(t, r"\[\[(?:[^\[\]|]*\|([^\[\]]+)|([^\[\]|]*)\|?)\]\]", "$1$2")
-    return F.when(pairs > 0, F.aggregate(F.sequence(F.lit(1), pairs), c, lambda t, _: one(t))).otherwise(c)
+    state = lambda t, done: F.struct(t.alias("t"), done.alias("done"))
+    step = lambda s, _: F.when(s["done"], s).otherwise(let(one(s["t"]), lambda t: state(t, t == s["t"])))
+    return F.when(pairs > 0, F.aggregate(F.sequence(F.lit(1), pairs), state(c, F.lit(False)), step)["t"]).otherwise(c)
 
 
 def unwrap_external_links(c: Column) -> Column:
@@ -170,6 +185,12 @@ def clean_paragraph(c: Column, min_chars: int = 0, nested: bool = True) -> Colum
     return _prose_of(c, c, min_chars)
 
 
+def clean_paragraphs(lines: Column, without_spans: Column, min_chars: int = 0) -> Column:
+    """clean_paragraph() of every line of an array, given drop_spans_each() of it; lines that come to nothing are left out."""
+    cleaned = F.zip_with(lines, without_spans, lambda c, w: _prose_of(c, w, min_chars))
+    return F.filter(cleaned, F.isnotnull)
+
+
 def _prose_of(c: Column, without_spans: Column, min_chars: int) -> Column:
     prose = let(strip_markup(without_spans, nested=False), lambda p: F.when((p != "") & (F.length(p) >= min_chars), p))
     return F.when(~is_blank(c) & ~is_furniture(c), prose)

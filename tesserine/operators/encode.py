@@ -2,25 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..config import DEFAULT
-from ..functions.text import let
+
+
+#: Words whose buckets a task keeps.
+MEMO_WORDS = 500_000
 
 
 def hashed_words(c: Column, dim: int = 64) -> Column:
-    """A bag of lower-cased words, each in the bucket of its MD5, scaled to length 1; zeros without words."""
-    tokens = F.regexp_extract_all(F.lower(c), F.lit("[^ \\t\\n]+"), F.lit(0))
-    buckets = F.transform(tokens, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim).cast("int"))
-    counts = lambda bs: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(bs, lambda b: b == i)).cast("double"))
-    scaled = lambda ns, length: F.transform(ns, lambda x: F.when(length == 0, F.lit(0.0)).otherwise(x / length))
-    length = lambda ns: F.sqrt(F.aggregate(ns, F.lit(0.0), lambda s, x: s + x * x))
-    return let(buckets, lambda bs: let(counts(bs), lambda ns: let(length(ns), lambda n: scaled(ns, n))))
+    """A bag of lower-cased words, each in the bucket of its MD5, scaled to length 1; zeros without words, null for null.
+
+    One pass over the words, in Arrow batches: counting buckets with built-in functions takes a pass for each bucket.
+    """
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def counted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo: dict[str, int] = {}
+
+        def bucket(word: str) -> int:
+            k = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
+            if len(word) <= 64 and len(memo) < MEMO_WORDS:
+                memo[word] = k
+            return k
+
+        def vector(text: str | None) -> np.ndarray | None:
+            if text is None:
+                return None
+            # words stand between space, tab and newline only
+            words = text.replace("\t", " ").replace("\n", " ").split(" ")
+            n = np.bincount([memo[w] if w in memo else bucket(w) for w in words if w], minlength=dim).astype(float)
+            length = math.sqrt(float((n * n).sum()))
+            return n / length if length else n
+
+        for batch in texts:
+            yield batch.map(vector)
+
+    return counted(F.lower(c))
 
 
 def encode(df: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], text: str = "text", rows: int = DEFAULT.embed.encode_rows, out: str = "embedding") -> DataFrame:

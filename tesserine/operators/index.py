@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import vector as V
-from .storage import broadcast_if_small
+from .storage import broadcast_if_small, materialise
 
 
 class MisalignedIndex(RuntimeError):
@@ -122,20 +122,51 @@ def search_blocks(vectors: DataFrame, queries: DataFrame, k: int, measure: str =
 # Inverted lists: a table of centroids (list_id, centroid), at most 65,536 rows, and vectors with their list_id.
 
 
-def _as_row(centroids: DataFrame) -> DataFrame:
-    """All centroids as one row: their number is bounded by most_lists."""
-    return centroids.agg(F.array_sort(F.collect_list(F.struct("list_id", "centroid"))).alias("centroids"))
+def _centres(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(list ids, centroids) in the order of list_id, on the driver: at most most_lists rows, or an error."""
+    rows = centroids.select("list_id", "centroid").limit(DEFAULT.index.most_lists + 1).toPandas().sort_values("list_id")
+    if len(rows) > DEFAULT.index.most_lists:
+        raise ValueError(f"over {DEFAULT.index.most_lists} lists")
+    return rows["list_id"].to_numpy(np.int64), np.stack(rows["centroid"]).astype(float) if len(rows) else np.zeros((0, 0))
 
 
-def _ranked_lists(vec: Column) -> Column:
-    """The lists by distance from a vector, the nearest first."""
-    return F.array_sort(F.transform("centroids", lambda c: F.struct(V.l2_squared(vec, c["centroid"]).alias("distance"), c["list_id"].alias("list_id"))))
+def _nearest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
+    """The rows of the k nearest centres of each vector, ties to the smaller row.
+
+    A matrix product finds those within rounding of the k nearest; their distances are then worked out component by component.
+    """
+    near = (centres * centres).sum(1)[None, :] - 2 * x @ centres.T
+    k = min(k, len(centres))
+    edge = np.partition(near, k - 1, axis=1)[:, k - 1]
+    out = np.empty((len(x), k), np.int64)
+    for i, limit in enumerate(edge + 1e-9 * (1 + np.abs(edge))):
+        some = np.flatnonzero(near[i] <= limit)
+        exact = np.zeros(len(some))
+        for part in (centres[some] - x[i]).T:  # in the order of components, as the column functions add
+            exact += part * part
+        out[i] = some[np.lexsort((some, exact))[:k]]
+    return out
+
+
+def _ranked(vec: Column, centroids: DataFrame, k: int, rows: int = 1024) -> Column:
+    """The ids of the k nearest lists of a vector, by blocks of vectors against all centroids, as matrix products."""
+    ids, centres = _centres(centroids)
+    shared = centroids.sparkSession.sparkContext.broadcast((ids, centres))
+
+    @F.pandas_udf("array<int>")
+    def ranked(vectors: pd.Series) -> pd.Series:
+        ids, centres = shared.value
+        found: list = []
+        for at in range(0, len(vectors), rows):
+            found += list(ids[_nearest(np.stack(vectors.iloc[at : at + rows]).astype(float), centres, k)].astype(np.int32))
+        return pd.Series(found, index=vectors.index, dtype=object)
+
+    return ranked(vec)
 
 
 def assign_lists(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """vectors with list_id of the nearest centroid, ties to the smaller one."""
-    held = vectors.join(F.broadcast(_as_row(centroids)), how="cross")
-    return held.withColumn("list_id", F.array_min(F.transform("centroids", lambda c: F.struct(V.l2_squared(F.col("embedding"), c["centroid"]).alias("distance"), c["list_id"].alias("list_id"))))["list_id"]).drop("centroids")
+    return vectors.withColumn("list_id", _ranked(F.col("embedding"), centroids, 1)[0])
 
 
 def train_lists(vectors: DataFrame, lists: int, training: int | None = None, seed: int = 42) -> DataFrame:
@@ -148,8 +179,7 @@ def train_lists(vectors: DataFrame, lists: int, training: int | None = None, see
 
 def probe_lists(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
     """(qid, vec, list_id): the nprobe nearest lists of every query."""
-    held = queries.join(F.broadcast(_as_row(centroids)), how="cross")
-    return held.select("qid", "vec", F.explode(F.slice(_ranked_lists(F.col("vec")), 1, nprobe)["list_id"]).alias("list_id"))
+    return queries.select("qid", "vec", _ranked(F.col("vec"), centroids, nprobe).alias("lists")).select("qid", "vec", F.explode("lists").alias("list_id"))
 
 
 def search_lists(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobe: int = DEFAULT.index.nprobe) -> DataFrame:
@@ -188,11 +218,20 @@ def codebook_row(codebook: DataFrame) -> DataFrame:
 
 
 def pq_encode(vectors: DataFrame, codebook: DataFrame, dim: int, parts: int) -> DataFrame:
-    """vectors with codes: for each part the nearest centre, ties to the smaller code."""
+    """vectors with codes: for each part the nearest centre, ties to the smaller code. The codebook's size is fixed."""
     size = check_parts(dim, parts)
-    held = vectors.join(F.broadcast(codebook_row(codebook)), how="cross")
-    code = lambda p: F.array_min(F.transform(p["codes"], lambda c: F.struct(V.l2_squared(F.slice(F.col("embedding"), p["part"] * size + 1, F.lit(size)), c["centre"]).alias("distance"), c["code"].alias("code"))))["code"]
-    return held.withColumn("codes", F.transform("book", code)).drop("book")
+    book = codebook.select("part", "code", "centre").toPandas().sort_values(["part", "code"])
+    shared = vectors.sparkSession.sparkContext.broadcast([(g["code"].to_numpy(np.int32), np.stack(g["centre"]).astype(float)) for _, g in book.groupby("part")])
+
+    @F.pandas_udf("array<int>")
+    def encoded(rows: pd.Series) -> pd.Series:
+        if not len(rows):
+            return pd.Series([], dtype=object)
+        x = np.stack(rows).astype(float)
+        codes = [c[_nearest(x[:, j * size : (j + 1) * size], centres, 1)[:, 0]] for j, (c, centres) in enumerate(shared.value)]
+        return pd.Series(list(np.stack(codes, axis=1)), index=rows.index, dtype=object)
+
+    return vectors.withColumn("codes", encoded("embedding"))
 
 
 def pq_decode(coded: DataFrame, codebook: DataFrame) -> DataFrame:
@@ -201,11 +240,35 @@ def pq_decode(coded: DataFrame, codebook: DataFrame) -> DataFrame:
     return held.withColumn("decoded", F.flatten(F.zip_with("codes", "book", lambda c, p: F.element_at(p["codes"], c + 1)["centre"]))).drop("book")
 
 
+def _with_lookup(queries: DataFrame, codebook: DataFrame, dim: int, parts: int) -> DataFrame:
+    """queries with lookup: for each part the distances of the query's part to all centres."""
+    size = check_parts(dim, parts)
+    held = queries.join(F.broadcast(codebook_row(codebook)), how="cross")  # one row of fixed size
+    return held.withColumn("lookup", F.transform("book", lambda p: F.transform(p["codes"], lambda c: V.l2_squared(F.slice(F.col("vec"), p["part"] * size + 1, F.lit(size)), c["centre"])))).drop("book")
+
+
+def _of_codes() -> Column:
+    """The sum of what lookup holds for codes."""
+    return F.aggregate(F.zip_with("codes", "lookup", lambda c, t: F.element_at(t, c + 1)), F.lit(0.0), lambda s, x: s + x)
+
+
 def search_codes(coded: DataFrame, codebook: DataFrame, queries: DataFrame, k: int, dim: int, parts: int) -> DataFrame:
     """As search_flat, with distances from codes: a query's distances to all centres are looked up and added."""
-    size = check_parts(dim, parts)
-    held = queries.join(F.broadcast(codebook_row(codebook)), how="cross")
-    table = F.transform("book", lambda p: F.transform(p["codes"], lambda c: V.l2_squared(F.slice(F.col("vec"), p["part"] * size + 1, F.lit(size)), c["centre"])))
-    asked = broadcast_if_small(held.select("qid", table.alias("lookup")), 5_000)
-    distance = F.aggregate(F.zip_with("codes", "lookup", lambda c, t: F.element_at(t, c + 1)), F.lit(0.0), lambda s, x: s + x)
-    return top_by(coded.join(asked, how="cross").select("qid", "idx", distance.alias("distance")), k)
+    asked = broadcast_if_small(_with_lookup(queries, codebook, dim, parts).select("qid", "lookup"))
+    return top_by(coded.join(asked, how="cross").select("qid", "idx", _of_codes().alias("distance")), k)
+
+
+def search_ivfpq(index: DataFrame, centroids: DataFrame, codebook: DataFrame, queries: DataFrame, k: int, dim: int, parts: int, nprobe: int = DEFAULT.index.nprobe, digits: int | None = None) -> DataFrame:
+    """As search_flat over an index (list_id, idx, codes): distances from codes, within the lists that a query probes.
+
+    No vector is read. The ids of all lists that are probed come to the driver, at most most_lists numbers, and filter the
+    index: one that is stored by list_id is read in these folders only. Queries meet the rows of a list by list_id; what
+    each partition passes on is k rows a query. digits: distances are rounded so before ties are broken by idx.
+    """
+    probes = materialise(probe_lists(queries, centroids, nprobe).select("qid", F.col("list_id").alias("probed")))
+    lists = sorted(r[0] for r in probes.select("probed").distinct().collect())
+    read = index.where(F.col("list_id").isin(lists)) if lists else index.limit(0)
+    asked = _with_lookup(queries, codebook, dim, parts).select(F.col("qid").alias("of_qid"), "lookup")
+    wanted = broadcast_if_small(probes.join(asked, F.col("qid") == F.col("of_qid")).select("qid", "probed", "lookup"))
+    distance = _of_codes() if digits is None else F.round(_of_codes(), digits)
+    return top_by(read.join(wanted, F.col("list_id") == F.col("probed")).select("qid", "idx", distance.alias("distance")), k)

@@ -26,11 +26,11 @@ def dense_ids(df: DataFrame, keys: list[str], partitions: int | None = None, nam
     placed = materialise(ranged.withColumns({"of_range": F.spark_partition_id(), "within": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
     sizes = {r["of_range"]: r["count"] for r in placed.groupBy("of_range").count().collect()}  # one number a range
     before, at = [], 0
-    for k in range(max(sizes, default=-1) + 1):
-        before.append(at)
-        at += sizes.get(k, 0)
-    base = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("of_range") + 1) if before else F.lit(0).cast("long")
-    return placed.withColumn(name, base + F.col("within")).drop("of_range", "within")
+    for k in sorted(sizes):
+        before.append((k, at))
+        at += sizes[k]
+    bases = F.broadcast(df.sparkSession.createDataFrame(before, "base_range int, base long"))  # one row a range
+    return placed.join(bases, F.col("of_range") == F.col("base_range")).withColumn(name, F.col("base") + F.col("within")).drop("of_range", "within", "base_range", "base")
 
 
 def batch_manifest(passages: DataFrame, rows: int = DEFAULT.embed.batch_rows) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Mining, Rerank
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import encode, export, index, linkgraph, metrics, mining, passages, search
+from ..operators import contain, encode, export, index, linkgraph, metrics, mining, passages, search
 from ..sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,9 +61,11 @@ def _counts(spark, sf):
 
 def _titles(spark, sf):
     """(label, title): the article of a label is the linked title at that place by count."""
-    place = F.row_number().over(Window.orderBy(F.col("count").desc(), "title")) - 1
-    # titles of the link graph, one row each
-    return _counts(spark, sf).select("title", place.cast("long").alias("label"))
+    most = _vectors(spark, sf).agg(F.coalesce(F.max("label"), F.lit(-1))).first()[0] + 1  # labels are small numbers
+    order = [F.col("count").desc(), F.col("title")]
+    # Each partition passes on as many titles as there are labels; only these stand in one window.
+    first = _counts(spark, sf).orderBy(*order).limit(most)
+    return first.select("title", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("label"))
 
 
 def _page_title(c):
@@ -230,6 +232,22 @@ def pq_adc_topk(spark, sf):
     return index.top_by(found.drop("rank_pos").withColumn("distance", F.round("distance", 9)), 10).select("qid", "idx", "rank_pos", F.round("distance", 6).alias("distance"))
 
 
+@query(f"""with {_LISTED}, {_BOOK},
+probes as (select vec_id as qid, list_id from (select vec_id, list_id, row_number() over (partition by vec_id order by list_distance(embedding::double[], centroid) ** 2, list_id) as place
+           from embeddings, centroids where vec_id % {EVERY} = 0) where place <= 3),
+lookup as (select q.vec_id as qid, part, code, list_distance(q.embedding[part * {DIM // PARTS} + 1:part * {DIM // PARTS} + {DIM // PARTS}]::double[], centre) ** 2 as d from embeddings q, book where q.vec_id % {EVERY} = 0),
+flat_codes as (select idx, list_id, i - 1 as part, codes[i] as code from coded join listed using (idx), unnest(range(1, {PARTS} + 1)) as u(i)),
+f as (select qid, idx, sum(d) as distance from probes join flat_codes using (list_id) join lookup using (qid, part, code) group by qid, idx),
+r as (select *, (row_number() over (partition by qid order by round(distance, 9), idx) - 1)::int as rank_pos from f)
+select qid, idx, rank_pos, round(distance, 6) as distance from r where rank_pos < 50""")
+def knn_ivfpq_fixed(spark, sf):
+    """Search over an inverted and product-quantised index: codes within the probed lists, no vectors."""
+    centroids, book = _fixed_centroids(spark, sf), _fixed_codebook(spark, sf)
+    coded = index.pq_encode(index.assign_lists(_vectors(spark, sf), centroids), book, DIM, PARTS).select("list_id", "idx", "codes")
+    found = index.search_ivfpq(coded, centroids, book, _asked(spark, sf), 50, DIM, PARTS, nprobe=3, digits=9)
+    return found.select("qid", "idx", "rank_pos", F.round("distance", 6).alias("distance"))
+
+
 @query()
 def ivf_kmeans(spark, sf):
     rows = _vectors(spark, sf)
@@ -245,6 +263,14 @@ def pq_kmeans(spark, sf):
     return back.select("idx", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"), F.round(V.l2_squared(F.col("embedding"), F.col("decoded")), 6).alias("error"))
 
 
+@query("""select (select count(*) from embeddings where vec_id % 10 <> 3) as index_rows, (select count(*) from embeddings where vec_id % 10 <> 7) as passage_rows,
+  (select count(*) from embeddings where vec_id % 10 = 7) as only_index, (select count(*) from embeddings where vec_id % 10 = 3) as only_passages, false as aligned""")
+def index_misalignment(spark, sf):
+    """An index that lacks some passages and holds others too many."""
+    rows = _vectors(spark, sf).select("idx")
+    return index.alignment(rows.where("idx % 10 <> 3"), rows.where("idx % 10 <> 7"))
+
+
 # ---- search
 
 def _candidates(spark, sf):
@@ -285,10 +311,9 @@ def search_reranked(spark, sf):
 select page_id, item_id, round(coalesce({_MATCH}, 0), 6) as title_match from p, q where coalesce({_MATCH}, 0) > 0""")
 def title_match(spark, sf):
     """By tokens: a title and a query without a common one never meet."""
-    pages = table(spark, sf, "pages").select("page_id", _page_title(F.col("html")).alias("title"))
-    asked = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("query"))
-    met = pages.join(asked, F.arrays_overlap(T.words(F.lower("title")), T.words(F.lower("query"))))
-    return met.select("page_id", "item_id", F.round(search.title_match(F.col("title"), F.col("query")), 6).alias("title_match"))
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("key"), _page_title(F.col("html")).alias("title"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return search.title_matches(pages, asked).select(F.col("key").alias("page_id"), F.col("qid").alias("item_id"), F.round("title_match", 6).alias("title_match"))
 
 
 @query(f"with {_LINKS}, {_P99} select title, count, round(ln(1 + count) / ln(1 + max_backlinks), 6) as boost from counts, p99")
@@ -380,8 +405,9 @@ _SPLIT = r"d as (select *, string_split(text, chr(10)) as lines from documents)"
 
 @query(f"with {_SPLIT} select doc_id, (i - 1)::int as pos, lines[i] as text from d, unnest(range(1, len(lines) + 1)) as u(i) where trim(lines[i]) <> ''")
 def paragraph_positions(spark, sf):
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    return lines.where(F.trim("text") != "")
+    joined = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
+    lines = passages.explode_paragraphs(table(spark, sf, "documents").select("doc_id", joined.alias("content")))
+    return lines.select("doc_id", "pos", "text")
 
 
 @query(f"""with {_SPLIT}, l as (select doc_id, i, trim(lines[i]) as line from d, unnest(range(1, len(lines) + 1)) as u(i))
@@ -616,7 +642,8 @@ norms as (select {key}, sqrt(sum(n * n)) as norm from buckets group by 1)"""  #
 
 @query(f"with {_HASHED('documents', 'doc_id')} select doc_id, b as bucket, round(n / norm, 6) as weight from buckets join norms using (doc_id)")
 def encode_hashed(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(encode.hashed_words(F.col("text"))).alias("bucket", "weight"))
+    encoded = table(spark, sf, "documents").select("doc_id", encode.hashed_words(F.col("text")).alias("vec"))
+    rows = encoded.select("doc_id", F.posexplode("vec").alias("bucket", "weight"))
     return rows.where("weight > 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round("weight", 6).alias("weight"))
 
 
@@ -634,10 +661,12 @@ def text_search_hashed(spark, sf):
 # ---- evaluation corpus: benchmark items ask for the articles that hold them
 
 def _benchmark_queries(spark, sf):
-    docs = table(spark, sf, "documents").select(F.concat_ws("-", F.lit("doc"), "source").alias("title"), F.col("text").alias("body"))
+    docs = table(spark, sf, "documents").select(F.struct("doc_id", F.concat_ws("-", F.lit("doc"), "source").alias("title")).alias("key"), F.col("text").alias("body"))
     asked = table(spark, sf, "benchmark")
-    met = asked.join(docs, F.contains("body", F.col("text")), "left").groupBy(F.col("item_id").alias("qid"), F.col("text").alias("query")).agg(F.array_sort(F.collect_set("title")).alias("relevant_articles"))
-    return met
+    met = contain.containing(docs, asked.select(F.col("item_id").alias("item"), F.col("text").alias("part")))
+    titles = met.groupBy("item").agg(F.array_sort(F.collect_set("key.title")).alias("found"))
+    every = asked.join(titles, F.col("item_id") == F.col("item"), "left")
+    return every.select(F.col("item_id").alias("qid"), F.col("text").alias("query"), F.coalesce("found", F.array().cast("array<string>")).alias("relevant_articles"))
 
 
 _ASKED = "asked as (select distinct item_id, 'doc-' || source as title from benchmark b join documents d on contains(d.text, b.text))"
@@ -762,7 +791,9 @@ def holdout_split(spark, sf):
     """Sources stand for files: the first three by name are held out, but never all."""
     rows = table(spark, sf, "documents").select("doc_id", "source")
     names = rows.select("source").distinct()
-    some = names.withColumn("n", F.count("*").over(Window.partitionBy())).withColumn("place", F.row_number().over(Window.orderBy("source"))).where(F.col("place") <= F.least(F.lit(3), F.col("n") - 1))
+    # the first four tell whether there are more than three
+    first = names.orderBy("source").limit(4)
+    some = first.withColumn("n", F.count("*").over(Window.partitionBy())).withColumn("place", F.row_number().over(Window.orderBy("source"))).where(F.col("place") <= F.least(F.lit(3), F.col("n") - 1))
     held = some.select(F.col("source").alias("held"))
     return rows.join(held, F.col("source") == F.col("held"), "left").select("doc_id", F.when(F.col("held").isNotNull(), "held out").otherwise("train").alias("split"))
 

@@ -67,19 +67,14 @@ def broken_files(spark: SparkSession, path: str) -> DataFrame:
 def articles(fragments: DataFrame, settings: Extract = DEFAULT.extract, common_entities: bool = False, nested: bool = True) -> DataFrame:
     """ARTICLE rows: lines cleaned, the leading title and short or furniture lines dropped, then articles with too few words."""
     lines = text.body_lines(text.clean_text(F.coalesce("raw", F.lit("")), common_entities), F.col("title"))
-    if nested:
-        # Python takes whole columns, not elements of an array: lines go through it as rows.
-        # An article is told by where it stands, so that articles with equal fields stay apart.
-        placed = fragments.withColumn("place", F.monotonically_increasing_id()).select("place", "id", "url", "title", F.posexplode(lines).alias("pos", "line"))
-        cleaned = placed.withColumn("line", text.clean_paragraph(F.col("line"), settings.min_paragraph_chars)).where("line is not null")
-        joined = cleaned.groupBy("place", "id", "url", "title").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("kept"))
-        content = joined.select("id", "url", "title", text.join_paragraphs(F.col("kept.line")).alias("content"))
-    else:
-        cleaned = F.filter(F.transform(lines, lambda x: text.clean_paragraph(x, settings.min_paragraph_chars, nested=False)), F.isnotnull)
-        # A filter on the content would be pushed below it and work it out twice; a generator is worked out once.
-        long = F.filter(F.array(text.join_paragraphs(cleaned)), lambda c: text.word_count(c) >= settings.min_article_words)
-        return fragments.select("id", "url", "title", F.explode_outer(long).alias("content")).where("content is not null")
-    return content.where(text.word_count(F.col("content")) >= settings.min_article_words)
+    # Row-local: Python takes the lines of an article as one array, and no line leaves its row. What a generator gives is
+    # worked out once; a plain column would be put into each of the places that name it.
+    split = fragments.select("id", "url", "title", F.explode(F.array(lines)).alias("lines"))
+    split = split.withColumn("bare", text.drop_spans_each(F.col("lines")) if nested else F.col("lines"))
+    content = text.join_paragraphs(text.clean_paragraphs(F.col("lines"), F.col("bare"), settings.min_paragraph_chars))
+    # A filter on the content would be pushed below it, too.
+    long = F.filter(F.array(content), lambda c: text.word_count(c) >= settings.min_article_words)
+    return split.select("id", "url", "title", F.explode_outer(long).alias("content")).where("content is not null")
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserine import cli
 from tesserine.config import Mining, Rerank, Settings
-from tesserine.operators import encode, export, index, linkgraph, metrics, mining, passages, search, storage
+from tesserine.operators import contain, encode, export, index, linkgraph, metrics, mining, passages, search, storage
 from tesserine.plans import build
 from tesserine.sources import readers
 from tesserine.streaming import incremental
@@ -266,6 +266,80 @@ def test_export(spark, tmp_path):
     assert rows_of(export.article_titles(twice, F.col("at")), "title", "url") == [("A", "u2")]
 
 
+def test_codes_within_probed_lists(spark, tmp_path):
+    x, rows = vectors(spark)
+    asked = rows.where("idx < 20").select(F.col("idx").alias("qid"), F.col("embedding").alias("vec"))
+    centroids, book = index.train_lists(rows, 8), index.train_codebook(rows, 8, parts=4, codes=32)
+    coded = index.pq_encode(index.assign_lists(rows, centroids), book, 8, 4).select("list_id", "idx", "codes")
+    storage.save(coded, str(tmp_path / "i"), by=["list_id"])
+    stored = storage.open_table(spark, str(tmp_path / "i"))
+    # every list probed: as all codes
+    near = lambda df: {(r["qid"], r["rank_pos"]): round(r["distance"], 9) for r in df.collect()}
+    assert near(index.search_ivfpq(stored, centroids, book, asked, 10, 8, 4, nprobe=8)) == near(index.search_codes(coded, book, asked, 10, 8, 4))
+    one = asked.where("qid = 3")
+    found = index.search_ivfpq(stored, centroids, book, one, 10, 8, 4, nprobe=2)
+    lists = sorted(r["list_id"] for r in index.probe_lists(one, centroids, 2).collect())
+    want = rows_of(index.search_codes(coded.where(F.col("list_id").isin(lists)), book, one, 10, 8, 4), "rank_pos", "idx")
+    assert rows_of(found, "rank_pos", "idx") == want
+    # only these folders are read, and no vector
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert all(str(k) in plan[plan.index("PartitionFilters") :].split("]")[0] for k in lists) and "embedding" not in plan[plan.index("FileScan parquet [idx") :].split("\n")[0]
+    assert index.search_ivfpq(stored, centroids, book, asked.limit(0), 10, 8, 4).count() == 0
+
+
+def test_nearest_lists_break_ties_by_number(spark):
+    centres = spark.createDataFrame([(2, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (3, [5.0, 5.0])], "list_id int, centroid array<double>")
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [9.0, 9.0])], "idx long, embedding array<float>")
+    assert rows_of(index.assign_lists(rows, centres), "idx", "list_id") == [(0, 1), (1, 0), (2, 3)]
+    asked = rows.select(F.col("idx").alias("qid"), F.col("embedding").alias("vec"))
+    assert rows_of(index.probe_lists(asked, centres, 2), "qid", "list_id") == [(0, 1), (0, 2), (1, 0), (1, 1), (2, 0), (2, 3)]
+    assert index.probe_lists(asked, centres, 9).count() == 12
+
+
+def test_texts_that_contain_items(spark):
+    texts = ["the quick brown fox jumps over the lazy dog today", "quick brown fox", None, "", "thequick brown fox jumps overthe", "the  quick brown fox jumps over"]
+    items = ["the quick brown fox jumps over", "quick brown fox jumps over", "brown", "he quick brown fox jum", "no such words in here at all", "fox jumps over the lazy", "o"]
+    a = spark.createDataFrame(list(enumerate(texts)), "key long, body string")
+    b = spark.createDataFrame(list(enumerate(items)), "item long, part string")
+    want = sorted((k, i) for k, t in enumerate(texts) for i, x in enumerate(items) if t and x in t)
+    assert rows_of(contain.containing(a, b), "key", "item") == want
+    long = b.where("item in (0, 1, 3, 4, 5)")
+    got = contain.containing(a, long)
+    assert rows_of(got, "key", "item") == [x for x in want if x[1] in (0, 1, 3, 4, 5)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_broadcasts_are_checked_by_rows_and_bytes(spark):
+    few, wide = spark.range(3), spark.range(3).select(F.repeat(F.lit("x"), 1000).alias("t"))
+    hinted = lambda df: "hint" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(storage.broadcast_if_small(few)) and not hinted(storage.broadcast_if_small(few, 2))
+    assert hinted(storage.broadcast_if_small(wide)) and not hinted(storage.broadcast_if_small(wide, most_bytes=1000))
+
+
+def test_json_arrays(spark, tmp_path):
+    rows = spark.createDataFrame([(str(k), "u", f"té{k}", 'a "quoted"\nline') for k in range(5)], "id string, url string, title string, content string")
+    export.write_json_arrays(rows.repartition(2), str(tmp_path / "a"))
+    held = [json.loads(p.read_text()) for p in (tmp_path / "a").glob("part-*")]
+    assert sorted(x["title"] for xs in held for x in xs) == [f"té{k}" for k in range(5)] and readers.read_articles(spark, str(tmp_path / "a")).count() == 5
+    export.write_json_arrays(rows.limit(0), str(tmp_path / "none"))
+    assert readers.read_articles(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    for name, content in {"x.json": '[{"id": "1"}, {"id": "2", "n": [1, 2]}, null]', "sub/y.json": "[]", "sub/z.json": '[{"id": "3"}]', "obj.json": '{"id": "4"}', "bad.json": "[{]", "worse.json": "nothing"}.items():
+        (tmp_path / "in" / name).write_text(content)
+    told = export.arrays_to_lines(spark, str(tmp_path / "in"), str(tmp_path / "out")).first().asDict()
+    assert told == {"n_files": 6, "n_skipped": 1, "n_broken": 2, "n_lines": 3}
+    lines = spark.read.text(str(tmp_path / "out"))
+    assert sorted((r["file"], json.loads(r["value"])["id"]) for r in lines.collect()) == [("sub/z.json", "3"), ("x.json", "1"), ("x.json", "2")]
+
+
+def test_triplet_files_through_the_reader_and_back(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "p", "n", "s", "")], "anchor string, positive string, negative string, source string, url string")
+    export.write_json_lines(rows, str(tmp_path / "t"))
+    train, held = readers.read_triplets(spark, str(tmp_path / "t"))
+    assert rows_of(train.union(held), "anchor", "positive", "negative") == [("a", "p", "n")]
+
+
 def test_storage(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         storage.open_table(spark, str(tmp_path / "none"))
@@ -286,7 +360,8 @@ def test_incremental_passages(spark, tmp_path):
     (source / "1.jsonl").write_text(line(1))
     run()
     run()
-    assert rows_of(spark.read.parquet(out), "article_title", "pos", "text") == [("t0", 0, "a"), ("t0", 1, "b"), ("t1", 0, "a"), ("t1", 1, "b")]
+    assert rows_of(spark.read.parquet(out), "idx", "article_title", "pos", "text") == [(0, "t0", 0, "a"), (1, "t0", 1, "b"), (2, "t1", 0, "a"), (3, "t1", 1, "b")]
+    assert rows_of(spark.read.parquet(f"{out}-counts"), "n_lines", "n_broken", "n_passages") == [(1, 0, 2), (2, 1, 2)]
 
 
 def test_backlinks_of_a_stream(spark, tmp_path):
@@ -323,6 +398,9 @@ def test_whole_build_and_command_line(spark, dumps, tmp_path, capsys, monkeypatc
     build.build_index(spark, out, "ivfpq", parts=8, bits=2)
     assert build.Engine(spark, out).health()["index"] == "ivfpq"
     assert build.Engine(spark, out).search(asked.select("qid", "query"), 2).count() >= 1
+    build.mine(spark, out, f"{out}/mined", settings)
+    again = spark.read.json(f"{out}/mined").collect()
+    assert again and all(r["source"] != "Target" and r["positive"] != r["negative"] for r in again)
     monkeypatch.setattr(cli, "local_session", lambda: spark)
     assert cli.main(["search", out, line("pluma"), "-k", "1"]) == 0 and "Target" in capsys.readouterr().out
     (tmp_path / "q.json").write_text(json.dumps([{"query": line("applec"), "relevant_articles": ["a PAGE"]}]))
