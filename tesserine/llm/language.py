@@ -138,16 +138,20 @@ def learn(rows: list[tuple[str, str]]) -> TextModel:
 def taught(docs: DataFrame) -> TextModel:
     """From documents (text, lang) of every language, at most TEACHING_ROWS of each, the first by a hash of doc_id.
 
-    Rows without doc_id, lang or text teach nothing; a repeated row teaches once for each language it names. There is no
-    bound on languages or on the length of texts: only TABLE counts for each language come to the driver.
+    Rows without doc_id, lang or text teach nothing; a repeated row teaches once for each language it names, and counts
+    among its language's rows as often as it stands there. There is no bound on languages or on the length of texts: only
+    TABLE counts for each language come to the driver.
     """
     rows = pick(docs, doc_id="doc_id", text="text", lang="lang").where("doc_id is not null and lang is not null and text is not null")
-    # The filter on the row number lets each partition pass on TEACHING_ROWS rows of a language and no more.
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= TEACHING_ROWS)
+    # A language with many documents is thinned by the hash before its rows meet: about twice as many as may teach are left.
+    size = cut(rows.groupBy(F.col("lang").alias("size_lang")).agg(F.count("*").alias("n")))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    thin = rows.select("doc_id", "lang").join(size, F.col("lang") == F.col("size_lang")).where(at * F.col("n") < 2 * TEACHING_ROWS)
+    first = Window.partitionBy("lang").orderBy(at, "doc_id")
+    ids = thin.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= TEACHING_ROWS)
     some = cut(ids.select(F.col("doc_id").alias("of_id"), F.col("lang").alias("of_lang")))
     found = cut(rows.join(some, (F.col("doc_id") == F.col("of_id")) & (F.col("lang") == F.col("of_lang"))).dropDuplicates(["doc_id", "lang"]).select("lang", "text"))
-    release(some)
+    release(some, size)
     model = _counted(found)
     release(found)
     return model
