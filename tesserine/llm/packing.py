@@ -43,7 +43,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str
     small, most = capacity // SMALL, 2 * capacity // SMALL
 
     def run(batches):
-        ids_of, item = library(tokenizer).encode, TaskContext.get().partitionId() << 40
+        held = library(tokenizer)
+        ids_of, item = held.encode, TaskContext.get().partitionId() << 40
         bundle, fill = -1, most
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
@@ -63,6 +64,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str
                         rows.append((bundle, fill, key, k, start, n, crc))
                         fill += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+        held.words.clear()  # the worker lives on
 
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     return rows.mapInArrow(run, "item long, within long, doc_id long, piece int, start long, length long, ids_crc32 long")

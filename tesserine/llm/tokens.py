@@ -19,6 +19,8 @@ import tokenizers
 
 #: Words kept with their ids in each of two generations; when the young one is full, it replaces the old one.
 MEMO_WORDS = 400_000
+#: Words that LibraryEncoder keeps.
+LIBRARY_WORDS = 120_000
 #: Letters that no contraction or number can touch, then perhaps marks: two pre-tokens at most.
 PLAIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|*#$%&]*)")
 #: Longer pieces are not kept.
@@ -242,7 +244,7 @@ class LibraryEncoder:
             out[i] = ids
         for (i, _, words, got), head in zip(cut, self._ids([x[1] for x in cut]) if cut else []):
             out[i] = head + b"".join([new[w] if x is None else x for w, x in zip(words, got)] if None in got else got)
-        if len(self.words) + len(known) > MEMO_WORDS:
+        if len(self.words) + len(known) > LIBRARY_WORDS:
             self.words.clear()
         self.words |= known
         return out

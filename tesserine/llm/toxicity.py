@@ -37,9 +37,9 @@ LEAST_DOCUMENTS, LEAST_WEIGHT = 4, 1.5
 TIERS = (1.5, 2.5, 3.5, 4.5, 5.5)
 BEGINNINGS = (4, 5, 6, 7)
 #: Words kept with their class, and the longest that are kept.
-MEMO_WORDS, MEMO_CHARS = 200_000, 48
+MEMO_WORDS, MEMO_CHARS = 100_000, 48
 #: A task hands on its counts of words when it holds so many.
-COUNTED_WORDS = 200_000
+COUNTED_WORDS = 50_000
 #: White space that ends no line.
 BLANKS = "\t\x1f \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
@@ -136,6 +136,12 @@ class Grammar:
     def __getstate__(self):
         return self.__dict__ | {"memo": {}}
 
+    def fresh(self) -> Grammar:
+        """The same grammar with a memo of its own, which goes with the task that uses it."""
+        own = Grammar.__new__(Grammar)
+        own.__dict__ = self.__getstate__()
+        return own
+
     def weight(self, word: str) -> float:
         own = self.words.get(word)
         return own if own is not None else max((self.beginnings.get(word[:n], 0.0) for n in BEGINNINGS if len(word) >= n), default=0.0)
@@ -299,7 +305,7 @@ def taught(docs: DataFrame, labels: DataFrame) -> Grammar:
     width = len(EVENTS) + 2
 
     def make():
-        others = shared.value
+        others = [g.fresh() for g in shared.value]
 
         def work(columns):
             x = np.array([others[h].features(t) for t, h in zip(columns[1], columns[3])])
@@ -310,6 +316,7 @@ def taught(docs: DataFrame, labels: DataFrame) -> Grammar:
     got = arrow_rows(rows.select("doc_id", "text", "label", "half"), "doc_id long, label int, " + ", ".join(f"f{k} double" for k in range(width)), make).toArrow().sort_by("doc_id")
     grammar = Grammar(*lexicon)
     grammar.weights, grammar.bias = _fit(np.column_stack([got[f"f{k}"].to_numpy() for k in range(width)]), (got["label"].to_numpy() > 0).astype(float))
+    shared.unpersist()
     release(rows)
     return grammar
 
@@ -322,7 +329,7 @@ def toxicity(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def make():
-        g = shared.value
+        g = shared.value.fresh()
 
         def work(columns):
             scores = [g.score(t) for t in columns[2]]
@@ -344,7 +351,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Da
     shared = docs.sparkSession.sparkContext.broadcast(taught(own, labels))
 
     def make():
-        g = shared.value
+        g = shared.value.fresh()
 
         def work(columns):
             bad = [i for i, t in enumerate(columns[2]) if g.score(t) >= THRESHOLD]
