@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
@@ -111,6 +113,22 @@ def column_of(df: DataFrame, name: str) -> str:
     return f"c{df.columns.index(name)}"
 
 
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    """malloc_trim of the C library, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return None
+
+
+def settle() -> None:
+    """Hand freed memory back to the system: a worker lives on after its task, and what the C library keeps adds up."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
 def arrow_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list[list]], dict[str, list]]]) -> DataFrame:
     """Apply a function of column lists, made once for each task, to slices of SLICE rows."""
     fields = [x.strip().split(" ") for x in schema.split(",")]
@@ -124,5 +142,6 @@ def arrow_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list[lis
                 part = batch.slice(at, SLICE)
                 got = work([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_pydict(got, schema=out)
+            settle()
 
     return df.mapInArrow(run, schema)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE, cut, pick, release
+from .common import SLICE, cut, pick, release, settle
 from .tokens import library
 
 CAPACITY = 2048
@@ -64,7 +64,9 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str
                         rows.append((bundle, fill, key, k, start, n, crc))
                         fill += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-        held.words.clear()  # the worker lives on
+            settle()
+        held.words.clear()
+        settle()
 
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     return rows.mapInArrow(run, "item long, within long, doc_id long, piece int, start long, length long, ids_crc32 long")

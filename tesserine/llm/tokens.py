@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
 import struct
 
@@ -252,6 +253,8 @@ class LibraryEncoder:
 
 @functools.cache
 def library(path: str) -> LibraryEncoder:
+    # A task has one core; the library's own threads would each keep an arena of memory.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return LibraryEncoder(path)
 
 
