@@ -8,6 +8,10 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Bytes of an Arrow batch on its way to a Python worker, where the session sets no other bound. Texts are long: batches of
+#: 10,000 rows would stand in memory several times on both sides of every task.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     return (
@@ -24,7 +28,9 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors' Python workers, once for each context."""
+    """Bound the session's Arrow batches, and send this package to the executors' Python workers, once for each context."""
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_tesserine_shipped", False):
         return spark
