@@ -65,7 +65,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str
                         fill += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
             settle()
-        held.words.clear()
+        held.forget()
         settle()
 
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -20,7 +20,7 @@ import tokenizers
 
 #: Words kept with their ids in each of two generations; when the young one is full, it replaces the old one.
 MEMO_WORDS = 400_000
-#: Words that LibraryEncoder keeps.
+#: Words that LibraryEncoder keeps in each of its two generations.
 LIBRARY_WORDS = 120_000
 #: Letters that no contraction or number can touch, then perhaps marks: two pre-tokens at most.
 PLAIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|*#$%&]*)")
@@ -208,6 +208,10 @@ class LibraryEncoder:
         for token, i in vocab.items():
             self.spaced[i] = token.startswith(space)
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def forget(self) -> None:
+        self.words, self.old = {}, {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -222,9 +226,9 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        get, out = self.words.get, [b""] * len(texts)
+        get, get_old, out = self.words.get, self.old.get, [b""] * len(texts)
         cut: list[tuple[int, str, list[str], list[bytes | None]]] = []
-        whole, new = [], {}
+        whole, new, again = [], {}, {}
         for i, text in enumerate(texts):
             if not text:
                 continue
@@ -236,7 +240,12 @@ class LibraryEncoder:
             got = list(map(get, words))
             cut.append((i, head, words, got))
             if None in got:
-                new.update((w, b"") for w, x in zip(words, got) if x is None)
+                for j, x in enumerate(got):
+                    if x is None:
+                        if (ids := get_old(words[j])) is None:
+                            new[words[j]] = b""
+                        else:
+                            got[j] = again[words[j]] = ids
         short = [w for w in new if len(w) <= MEMO_CHARS]
         known = self._learn(short) if short else {}
         long = [w for w in new if len(w) > MEMO_CHARS]
@@ -245,9 +254,10 @@ class LibraryEncoder:
             out[i] = ids
         for (i, _, words, got), head in zip(cut, self._ids([x[1] for x in cut]) if cut else []):
             out[i] = head + b"".join([new[w] if x is None else x for w, x in zip(words, got)] if None in got else got)
-        if len(self.words) + len(known) > LIBRARY_WORDS:
-            self.words.clear()
+        if len(self.words) + len(known) + len(again) > LIBRARY_WORDS:
+            self.words, self.old = {}, self.words
         self.words |= known
+        self.words |= again
         return out
 
 
