@@ -20,8 +20,13 @@ import tokenizers
 
 #: Words kept with their ids in each of two generations; when the young one is full, it replaces the old one.
 MEMO_WORDS = 400_000
-#: Words that LibraryEncoder keeps in each of its two generations.
-LIBRARY_WORDS = 120_000
+#: Parts of texts that LibraryEncoder keeps in each of its two generations.
+LIBRARY_WORDS = 200_000
+#: Letters that no contraction or number can touch, or marks, up to the next of the other kind or white space; else all up
+#: to a space or line feed. A space or line feed by itself says that the text can't be cut.
+PART = re.compile(r"[ \n]?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^ \n.,!?;:|*#$%&])|[.,!?;:|*#$%&]+(?![^ \nA-Za-zÀ-ÖØ-öø-ÿ])|[^ \n]+)|[ \n]")
+#: Parts that are one pre-token.
+PRE_TOKEN = re.compile(" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,!?;:|*#$%&]+)")
 #: Letters that no contraction or number can touch, then perhaps marks: two pre-tokens at most.
 PLAIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|*#$%&]*)")
 #: Longer pieces are not kept.
@@ -190,75 +195,62 @@ class Unsafe(Exception):
 
 
 class LibraryEncoder:
-    """Ids as the tokenizers library gives them, each word between single spaces asked for once as long as it is kept.
+    """Ids as the tokenizers library gives them, each part of a text asked for once as long as it is kept.
 
-    A pre-token of a byte-level vocabulary holds a space only at its start or in a run of white space, so a text may be
-    cut before every space that touches no other white space. Words that are not known yet are encoded together, and their
-    ids fall apart at the tokens that begin with a space. Texts with other runs of white space, or with the strings of
-    special tokens, go to the library as a whole.
+    A pre-token of a byte-level vocabulary holds a space only at its start or in a run of white space, a line feed only in
+    such a run, and never both letters and marks. So a text may be cut before every space or line feed that no white space
+    follows, and there between letters and the marks of PART. Texts that can't be cut so, that hold strings of special
+    tokens, or whose tokenizer isn't byte-level, go to the library as a whole.
     """
 
     def __init__(self, path: str):
         self.library = tokenizers.Tokenizer.from_file(path)
         self.library.no_truncation(), self.library.no_padding()
+        self.model = self.library.model
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        vocab = self.library.get_vocab(with_added_tokens=True)
-        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
-        space = next(c for c, b in byte_symbols().items() if b == 32)
-        for token, i in vocab.items():
-            self.spaced[i] = token.startswith(space)
-        self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        pre = self.library.pre_tokenizer
+        self.can_cut = self.library.normalizer is None and isinstance(pre, tokenizers.pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space
+        self.printed = {b: c for c, b in byte_symbols().items()}
+        self.bytes_of_id = [struct.pack("<I", i) for i in range(max(self.library.get_vocab(with_added_tokens=True).values()) + 1)]
+        self.feed = self._whole("\n")
+        self.forget()
 
     def forget(self) -> None:
-        self.words, self.old = {}, {}
+        self.parts, self.old = _Words(self._add), {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        ids = np.array(self.library.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-        starts = np.flatnonzero(self.spaced[ids])
-        if len(starts) != len(new):
-            return dict(zip(new, self._ids([" " + w for w in new])))
-        raw, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
-        return {w: raw[a:b] for w, a, b in zip(new, (4 * starts).tolist(), ends)}
+    def _add(self, part: str) -> bytes:
+        got = self.old.get(part) or self.parts.get(part) or self._ids(part)
+        if len(part) <= MEMO_CHARS:
+            if len(self.parts) >= LIBRARY_WORDS:
+                self.parts, self.old = _Words(self._add), self.parts
+            self.parts[part] = got
+        return got
+
+    def _ids(self, part: str) -> bytes:
+        feed = part[0] == "\n"
+        one = part[1:] if feed else part
+        if PRE_TOKEN.fullmatch(one):
+            ids = self.bytes_of_id
+            got = b"".join([ids[t.id] for t in self.model.tokenize((one if one.isascii() else one.encode().decode("latin-1")).translate(self.printed))])
+            return self.feed + got if feed else got
+        if part[0] in " \n" and (len(part) == 1 or part[1].isspace()):
+            raise Unsafe
+        return self._whole(part)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        get, get_old, out = self.words.get, self.old.get, [b""] * len(texts)
-        cut: list[tuple[int, str, list[str], list[bytes | None]]] = []
-        whole, new, again = [], {}, {}
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            head, space, rest = text.partition(" ")
-            words = rest.split(" ") if space else []
-            if any(not w or w[0].isspace() for w in words) or any(x in text for x in self.special):
-                whole.append(i)
-                continue
-            got = list(map(get, words))
-            cut.append((i, head, words, got))
-            if None in got:
-                for j, x in enumerate(got):
-                    if x is None:
-                        if (ids := get_old(words[j])) is None:
-                            new[words[j]] = b""
-                        else:
-                            got[j] = again[words[j]] = ids
-        short = [w for w in new if len(w) <= MEMO_CHARS]
-        known = self._learn(short) if short else {}
-        long = [w for w in new if len(w) > MEMO_CHARS]
-        new = known | dict(zip(long, self._ids([" " + w for w in long]) if long else []))
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]) if whole else []):
-            out[i] = ids
-        for (i, _, words, got), head in zip(cut, self._ids([x[1] for x in cut]) if cut else []):
-            out[i] = head + b"".join([new[w] if x is None else x for w, x in zip(words, got)] if None in got else got)
-        if len(self.words) + len(known) + len(again) > LIBRARY_WORDS:
-            self.words, self.old = {}, self.words
-        self.words |= known
-        self.words |= again
-        return out
+        return [self._encode(t) if t else b"" for t in texts]
+
+    def _encode(self, text: str) -> bytes:
+        if self.can_cut and not any(x in text for x in self.special):
+            try:
+                return b"".join(map(self.parts.__getitem__, PART.findall(text)))
+            except Unsafe:
+                pass
+        return self._whole(text)
 
 
 @functools.cache

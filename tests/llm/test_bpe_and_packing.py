@@ -4,10 +4,11 @@ import struct
 import zlib
 from collections import defaultdict
 
+import public_tokenizers
 import pytest
 import tokenizers
 
-from tesserine.llm import bpe, packing
+from tesserine.llm import bpe, packing, tokens
 from tesserine.llm.queries import QUERIES, TOKENIZER
 from tesserine.llm.tokens import LibraryEncoder, encoder
 
@@ -78,6 +79,22 @@ def test_packing_ids_are_those_of_the_library(library):
             assert ids == packed(library.encode(t, add_special_tokens=False).ids), t
 
 
+def test_packing_ids_when_parts_are_forgotten(library, monkeypatch):
+    monkeypatch.setattr(tokens, "LIBRARY_WORDS", 7)
+    own, r = LibraryEncoder(TOKENIZER), random.Random(5)
+    parts = [" foo", " bar.", "\nBaz", "é,", " don't", "|x", " 3.5", "...", "?!", " д", "aд", "\n", " Ñu;", "x" * 60]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 40))) for _ in range(2000)]
+    assert own.encode(texts) == [packed(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(own.parts) <= 7 and len(own.old) <= 7
+
+
+def test_texts_of_a_tokenizer_without_byte_level_are_not_cut():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, texts = tokenizers.Tokenizer.from_file(path), ["Ab cd, ef.\nGh", "two  words", "", "é"]
+    plain.no_truncation(), plain.no_padding()
+    assert LibraryEncoder(path).encode(texts) == [packed(plain.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def assert_packed(rows, texts, library):
     want = defaultdict(int)
     for i, t in texts:
