@@ -652,8 +652,9 @@ s as (select item_id, doc_id, round(sum(q.n * d.n / (qn.norm * dn.norm)), 9) as
 r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s)
 select item_id, rank::int as rank, doc_id, round(score, 6) as score from r where rank <= 5""")
 def text_search_hashed(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), encode.hashed_words(F.col("text")).alias("embedding"))
-    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), encode.hashed_words(F.col("text")).alias("vec"))
+    # a null text has no words to share, and no vector
+    docs = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("idx"), encode.hashed_words(F.col("text")).alias("embedding"))
+    asked = table(spark, sf, "benchmark").where("text is not null").select(F.col("item_id").alias("qid"), encode.hashed_words(F.col("text")).alias("vec"))
     top = index.search_blocks(docs, asked, 5, measure="dot").where("distance < 0")
     return top.select(F.col("qid").alias("item_id"), (F.col("rank_pos") + 1).alias("rank"), F.col("idx").alias("doc_id"), F.round(-F.col("distance"), 6).alias("score"))
 

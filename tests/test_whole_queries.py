@@ -1,11 +1,14 @@
 """Registered queries on small tables whose rows need the whole job, against slow versions."""
 
+import contextlib
 import html
 import json
 import re
 
+import duckdb
+
 from tesserine.operators import export
-from tesserine.plans.queries import QUERIES
+from tesserine.plans.queries import QUERIES, SQL
 
 from .test_text import slow_prose
 
@@ -64,3 +67,37 @@ def test_export_joins_every_curid(spark, tmp_path):
     some = export.key_values(rows, spark.createDataFrame([("A", 7)], "title string, curid long"))
     assert "curid" not in json.loads(dict(export.items(some).collect())[1])["Item"]
     assert export.counters(some).first()["n_missing_curid"] == 1
+
+
+@contextlib.contextmanager
+def many_partitions(spark):
+    """Shuffles that stay apart, as those of larger tables do: on small ones all rows meet in one partition anyway."""
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def by_sql(path, name, *tables):
+    c = duckdb.connect()
+    for t in tables:
+        c.execute(f"create view {t} as select * from '{path}/{t}.parquet/*.parquet'")
+    return sorted(c.execute(SQL[name]).fetchall())
+
+
+def test_text_search_meets_every_block(spark, tmp_path):
+    # three blocks of documents, one row in 100 without a text
+    texts = [None if k % 100 == 7 else f"word{k % 83} w{k % 41} v{k * k % 59} u{k % 7}" for k in range(9000)]
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(k, f"word{k} v{k} u{k % 7}") for k in range(20)] + [(20, None), (21, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    with many_partitions(spark):
+        found = QUERIES["text_search_hashed"](spark, str(tmp_path)).select("item_id", "rank", "doc_id", "score").collect()
+    want = by_sql(tmp_path, "text_search_hashed", "documents", "benchmark")
+    assert len(want) == 100 and [tuple(r) for r in sorted(found)] == want
